@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions import text
 from riskframe.operators.lookup import indexable, last_per_key
+from riskframe.scale import with_rank
 
 
 def plan_sync(current: DataFrame, bugs: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -72,3 +73,8 @@ def upsert_results(existing: DataFrame, batch: DataFrame, order: Sequence[str] =
     rows = existing.unionByName(batch)
     keyed = F.coalesce(F.col("bug_key"), F.lit("")) != ""
     return last_per_key(rows.where(keyed), ["bug_key"], order).unionByName(rows.where(~keyed))
+
+
+def delete_list(plan: DataFrame) -> DataFrame:
+    """Keys to delete with their place in key order."""
+    return with_rank(plan.where(F.col("action") == "delete").select("key"), ["key"])

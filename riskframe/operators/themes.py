@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe import constants as C
 from riskframe.functions import risk, text
+from riskframe.scale import with_rank
 
 
 def common_value(members: DataFrame, column: str, default: str, into: str) -> DataFrame:
@@ -133,3 +134,12 @@ def pattern_kpis(patterns: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bug_count"), F.lit(0)).alias("bugs_in_patterns"),
         F.count_if(F.col("severity") == "critical").alias("critical_patterns"),
     )
+
+
+def display_order(patterns: DataFrame) -> DataFrame:
+    """Patterns by severity, then size, numbered in that order."""
+    rows = patterns.select("pattern_id", "severity", "bug_count")
+    return with_rank(
+        rows.withColumn("__severity", severity_rank()),
+        ["__severity", F.desc("bug_count"), "pattern_id"],
+    ).drop("__severity")

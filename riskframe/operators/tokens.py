@@ -377,3 +377,14 @@ def restore_texts(
         if compat:
             break
     return df
+
+
+def count_hits(
+    df: DataFrame, columns: Sequence[str], *, key: str = "key", phone: str = "compat"
+) -> DataFrame:
+    """Number of hits per row and category, as ``row, category, hits``."""
+    cut = _long(df, key, columns).select("row", _segmenter(phone)("text").alias("cut"))
+    hits = cut.select("row", F.explode("cut.hits").alias("hit"))
+    return hits.groupBy("row", F.col("hit.category").alias("category")).agg(
+        F.count("*").alias("hits")
+    )

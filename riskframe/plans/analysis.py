@@ -17,9 +17,11 @@ _SHOWN = ("key", "summary", "priority", "status", "component")
 
 @dataclass(frozen=True)
 class PromptBatch:
-    """``targets`` keeps the clear texts; ``prompts`` and ``entries`` are masked."""
+    """``targets`` keeps the clear texts, ``shown`` is their masked form, ``entries``
+    are the new token rows."""
 
     targets: DataFrame
+    shown: DataFrame
     prompts: DataFrame
     entries: DataFrame | None
 
@@ -53,7 +55,7 @@ def prepare_prompts(
         # The masked table keeps one row per bug, so its fields serve the neighbours too.
         other = shown.select(F.col("key").alias("dst"), F.struct(*_SHOWN).alias("other"))
         similar = near.join(other, "dst").select(F.col("src").alias("key"), "rank", "other")
-    return PromptBatch(targets, prompts.user_prompts(shown, modules, similar), entries)
+    return PromptBatch(targets, shown, prompts.user_prompts(shown, modules, similar), entries)
 
 
 def results_from_replies(
