@@ -60,6 +60,8 @@ def greedy_clusters(
     input order of equally connected seeds as ``key, position``; by default it is
     the order of the keys.
     """
+    if min_size < 2:
+        raise ValueError("a cluster has at least two members")
     key_type = edges.schema["src"].dataType.simpleString()
     degrees = edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree"))
     if positions is None:
@@ -79,15 +81,17 @@ def greedy_clusters(
     )
     done: list[DataFrame] = []
     rounds = 0
-    while (left := graph.count()) > residue_edges:
+    # Edges between rejected seeds may stay to the end; only open seeds need a decision.
+    sizes = graph.agg(F.count("*").alias("edges"), F.count_if("open").alias("open"))
+    while (left := sizes.first()).open and left.edges > residue_edges:
         picked, graph = _round(graph, min_size, max_size)
         done.append(picked)
         rounds += 1
-        _log.info("cluster round %d: %d edges were left", rounds, left)
-    if left:
-        done.append(
-            graph.groupBy(F.lit(1)).applyInPandas(_sequential(min_size, max_size), schema)
-        )
+        _log.info("cluster round %d: %d edges were left", rounds, left.edges)
+        sizes = graph.agg(F.count("*").alias("edges"), F.count_if("open").alias("open"))
+    if left.open:
+        residue = graph.withColumn("residue", F.lit(0)).groupBy("residue")
+        done.append(residue.applyInPandas(_sequential(min_size, max_size), schema))
     spark = edges.sparkSession
     members = done[0] if done else spark.createDataFrame([], schema)
     for part in done[1:]:
