@@ -62,6 +62,7 @@ def greedy_clusters(
     """
     if min_size < 2:
         raise ValueError("a cluster has at least two members")
+    edges = checkpointed(edges)
     key_type = edges.schema["src"].dataType.simpleString()
     degrees = edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree"))
     if positions is None:

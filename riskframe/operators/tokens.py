@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe import constants as C
-from riskframe.scale import checkpointed, settle_small, with_rank
+from riskframe.scale import checkpointed, with_rank
 from riskframe.schemas import PII_MAP
 
 # Marks around a masked value while its token number is unknown.  They are Unicode
@@ -39,6 +39,9 @@ _MAY_HIT = (
     r"(?iu:api[_-]?key|token|secret|password|authorization)"
 )
 
+# Text a pattern cannot do without; a plain search is much cheaper than the pattern.
+_NEEDED_TEXT = {"TOKEN": "Bearer", "URL": "://", "EMAIL": "@", "IP": "."}
+
 _PATTERNS = [
     (category, re.compile(pattern, re.IGNORECASE if inner else 0), inner)
     for category, pattern, inner in C.PII_PATTERNS
@@ -56,6 +59,8 @@ def _marked_text(text: str, patterns) -> tuple[list[tuple], str]:
         return _MARKED.sub(lambda mark: f"{_OPEN}{hits[int(mark[1])][3]}{_CLOSE}", value)
 
     for number, (category, pattern, inner) in enumerate(patterns):
+        if _NEEDED_TEXT.get(category, "") not in text:
+            continue
 
         def mask(match: re.Match) -> str:
             value = match[1] if inner else match[0]
@@ -120,7 +125,7 @@ def empty_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], PII_MAP)
 
 
-def new_tokens(hits: DataFrame, known: DataFrame) -> DataFrame:
+def new_tokens(hits: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Token rows for values the map does not hold yet.
 
     ``hits`` has ``value, category`` and the appearance columns
@@ -128,18 +133,26 @@ def new_tokens(hits: DataFrame, known: DataFrame) -> DataFrame:
     stored number of each category.
     """
     appearance = F.struct("order", "field", "item_no", "pass", "at", "category")
-    first = hits.groupBy("value").agg(F.min(appearance).alias("seen")).select("value", "seen.*")
-    unseen = first.join(known.select(F.col("original").alias("value")), "value", "left_anti")
+    unseen = hits.groupBy("value").agg(F.min(appearance).alias("seen")).select("value", "seen.*")
+    if known is not None:
+        stored = known.select(F.col("original").alias("value"))
+        unseen = unseen.join(stored, "value", "left_anti")
+    unseen = checkpointed(unseen)
     ranked = with_rank(
         unseen, ["category", "order", "field", "item_no", "pass", "at", "value"], "place"
     )
-    # Both per-category tables have at most one row per category.
-    starts = settle_small(ranked.groupBy("category").agg(F.min("place").alias("first_place")))
-    used = settle_small(known.groupBy("category").agg(F.max("seq").alias("used")))
-    seq = F.col("place") - F.col("first_place") + 1 + F.coalesce("used", F.lit(0))
-    numbered = (
-        ranked.join(starts, "category").join(used, "category", "left").withColumn("seq", seq)
-    )
+    # At most one row per category: how many values sort before it, how many it has used.
+    sizes = unseen.groupBy("category").agg(F.count("*").alias("size")).collect()
+    used = {} if known is None else {
+        row.category: row.used
+        for row in known.groupBy("category").agg(F.max("seq").alias("used")).collect()
+    }
+    shift, before = F.lit(0), 0
+    for row in sorted(sizes):
+        offset = (used.get(row.category) or 0) - before
+        shift = F.when(F.col("category") == row.category, F.lit(offset)).otherwise(shift)
+        before += row.size
+    numbered = ranked.withColumn("seq", (F.col("place") + shift).cast("bigint"))
     return numbered.select(
         F.col("value").alias("original"),
         token_text(F.col("category"), F.col("seq")).alias("token"),
@@ -159,12 +172,14 @@ def _hash_token(category: Column, value: Column) -> Column:
     )
 
 
-def _spell_inner(tokens: DataFrame, known: DataFrame) -> DataFrame:
+def _spell_inner(tokens: DataFrame, known: DataFrame | None) -> DataFrame:
     """Stored form of values that contain other values: inner values become tokens."""
     nested = tokens.where(F.contains("original", F.lit(_OPEN)))
     plain = tokens.where(~F.contains("original", F.lit(_OPEN)))
     inner = F.regexp_extract_all("original", F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), F.lit(1))
-    lookup = known.select("original", "token").unionByName(plain.select("original", "token"))
+    lookup = plain.select("original", "token")
+    if known is not None:
+        lookup = lookup.unionByName(known.select("original", "token"))
     parts = (
         nested.select("token", F.posexplode(inner).alias("at", "part"))
         .join(lookup.select(F.col("original").alias("part"), F.col("token").alias("inner")), "part")
@@ -208,9 +223,8 @@ def mask_table(
     ``phone="strict"`` asks for a ``+`` prefix instead of also hitting version and
     order numbers.
     """
-    spark = df.sparkSession
-    known = known if known is not None else empty_map(spark)
     order = order_by or key
+    spelled = _with_marks(known) if known is not None else None
     texts = _long(df, key, columns)
     cut = texts.select("row", "field", "item", _segmenter(phone)("text").alias("cut")).where(
         F.size("cut.hits") > 0
@@ -235,13 +249,14 @@ def mask_table(
             orders = df.select(F.col(key).alias("row"), F.col(order).alias("order"))
             seen = seen.join(orders, "row")
         item_no = F.coalesce(F.col("item").try_cast("int"), F.lit(0))
-        fresh = new_tokens(seen.withColumn("item_no", item_no), _with_marks(known))
+        fresh = new_tokens(seen.withColumn("item_no", item_no), spelled)
     else:
         raise ValueError("tokens is 'sequential' or 'hash'")
+    fresh = checkpointed(fresh)
     stored = _spell_inner(fresh, known)
-    lookup = _with_marks(known).select("original", "token").unionByName(
-        fresh.select("original", "token")
-    )
+    lookup = fresh.select("original", "token")
+    if spelled is not None:
+        lookup = lookup.unionByName(spelled.select("original", "token"))
     replaced = (
         found.select("row", "field", "item", "mark", F.col("value").alias("original"))
         .join(lookup, "original")
@@ -338,6 +353,35 @@ def _masked_column(df: DataFrame, name: str, field: int) -> Column:
     return masked(F.lit(""), F.col(name))
 
 
+def _with_tokens_replaced(text: str, values: str) -> Column:
+    """A text column with each token replaced from a map column; unknown ones stay."""
+    marks = F.regexp_extract_all(text, F.lit(C.TOKEN_PATTERN), F.lit(0))
+    runs = F.split(text, C.TOKEN_PATTERN)
+    pieces = F.zip_with(
+        F.slice(runs, 1, F.size(marks)),
+        marks,
+        lambda run, mark: F.concat(run, F.coalesce(F.try_element_at(F.col(values), mark), mark)),
+    )
+    return F.concat(F.array_join(pieces, ""), F.element_at(runs, -1))
+
+
+def _replaced(df: DataFrame, key: str, text: str, lookup: DataFrame) -> DataFrame:
+    """``df`` with the tokens of one text column looked up in ``token, original``."""
+    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(C.TOKEN_PATTERN), F.lit(0)))
+    values = (
+        df.select(F.col(key).alias("__row"), F.explode(marks).alias("token"))
+        .join(lookup, "token")
+        .groupBy("__row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__values"))
+    )
+    columns = [
+        _with_tokens_replaced(text, "__values").alias(name) if name == text else F.col(name)
+        for name in df.columns
+    ]
+    joined = df.join(values, df[key] == values["__row"], "left")
+    return joined.select(*columns)
+
+
 def restore_texts(
     df: DataFrame,
     column: str,
@@ -345,38 +389,23 @@ def restore_texts(
     *,
     key: str = "key",
     compat: bool = False,
-    max_depth: int = 4,
+    max_depth: int = 2,
 ) -> DataFrame:
     """Put the original values back into one text column.
 
-    Values that contain other tokens are restored as well, up to ``max_depth``
-    levels; ``compat`` restores a single level.  Unknown tokens stay as they are.
+    Originals that contain tokens are spelled out in the map first, ``max_depth``
+    levels deep, so the texts are read once.  ``compat`` leaves those inner tokens in
+    place.  Unknown tokens stay, and texts without tokens are not joined.
     """
     lookup = known.select("token", "original")
-    for _ in range(1 if compat else max_depth):
-        found = F.array_distinct(F.regexp_extract_all(column, F.lit(C.TOKEN_PATTERN), F.lit(0)))
-        values = (
-            df.select(F.col(key).alias("row"), F.explode(found).alias("token"))
-            .join(lookup, "token")
-            .groupBy("row")
-            .agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__values"))
-        )
-        runs = F.split(column, C.TOKEN_PATTERN)
-        marks = F.regexp_extract_all(column, F.lit(C.TOKEN_PATTERN), F.lit(0))
-        pieces = F.zip_with(
-            F.slice(runs, 1, F.size(marks)),
-            marks,
-            lambda run, mark: F.concat(
-                run, F.coalesce(F.try_element_at(F.col("__values"), mark), mark)
-            ),
-        )
-        rebuilt = F.concat(F.array_join(pieces, ""), F.element_at(runs, -1))
-        restored = F.when(F.col("__values").isNotNull(), rebuilt).otherwise(F.col(column))
-        columns = [restored.alias(name) if name == column else F.col(name) for name in df.columns]
-        df = df.join(values.withColumnRenamed("row", key), key, "left").select(*columns)
-        if compat:
-            break
-    return df
+    for _ in range(0 if compat else max_depth):
+        nested = F.col("original").rlike(C.TOKEN_PATTERN)
+        inner = known.select("token", "original")
+        spelled = _replaced(lookup.where(nested), "token", "original", inner)
+        lookup = lookup.where(~nested).unionByName(spelled)
+    holds_token = F.coalesce(F.col(column).rlike(C.TOKEN_PATTERN), F.lit(False))
+    restored = _replaced(df.where(holds_token), key, column, lookup)
+    return df.where(~holds_token).unionByName(restored)
 
 
 def count_hits(
