@@ -33,11 +33,23 @@ from riskframe.schemas import PII_MAP
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 _MARKED = re.compile(f"{_OPEN}(\\d+){_CLOSE}")
 
-# A necessary condition of every pattern, cheap to test.
-_MAY_HIT = (
-    r"Bearer|gsk_|sk-|xox[bp]-|ghp_|glpat-|ATATT|https?://|@|(?U:\d\.\d|\d{3})|"
-    r"(?iu:api[_-]?key|token|secret|password|authorization)"
+# Necessary conditions of the patterns, as plain searches and one digit test.  Case
+# folding covers the letters that match "i" and "s" when case is ignored.
+_PLAIN_HINTS = (
+    "Bearer", "gsk_", "sk-", "xoxb-", "xoxp-", "ghp_", "glpat-", "ATATT", "://", "@",
 )
+_FOLDED_HINTS = ("api", "token", "secret", "password", "authorization")
+_DIGIT_HINT = r"\p{Nd}{3}|\p{Nd}\.\p{Nd}"
+
+
+def _may_match(text: Column) -> Column:
+    """Cheap JVM-side test that is true for every text with a hit."""
+    folded = F.translate(F.lower(text), "\u0131\u017f\u0307", "is")
+    assigns = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    keyed = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(x)) for x in _FOLDED_HINTS])
+    plain = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in _PLAIN_HINTS])
+    return plain | text.rlike(_DIGIT_HINT) | (assigns & keyed)
+
 
 # Text a pattern cannot do without; a plain search is much cheaper than the pattern.
 _NEEDED_TEXT = {"TOKEN": "Bearer", "URL": "://", "EMAIL": "@", "IP": "."}
@@ -106,7 +118,7 @@ def _long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     combined = parts[0]
     for part in parts[1:]:
         combined = combined.unionByName(part)
-    return combined.where(F.col("text").rlike(_MAY_HIT))
+    return combined.where(_may_match(F.col("text")))
 
 
 def _may_hit(df: DataFrame, name: str) -> Column:
@@ -114,9 +126,9 @@ def _may_hit(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType.typeName()
     values = F.map_values(name) if kind == "map" else F.col(name)
     if kind in ("array", "map"):
-        found = F.exists(values, lambda text: F.coalesce(text.rlike(_MAY_HIT), F.lit(False)))
+        found = F.exists(values, lambda text: F.coalesce(_may_match(text), F.lit(False)))
     else:
-        found = values.rlike(_MAY_HIT)
+        found = _may_match(values)
     return F.coalesce(found, F.lit(False))
 
 

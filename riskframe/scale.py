@@ -51,6 +51,19 @@ def settle_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a scan of a few small files over all cores.
+
+    A small file is often one row group and thus one task.  Scans with enough files,
+    or too large to move cheaply, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def with_rank(
     df: DataFrame, order: Sequence[Column | str], name: str = "rank", start: int = 1
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskframe.scale import spread_small
 from riskframe.sources.rules import PathRules
 
 ORDERS_NOW = datetime(2001, 8, 15, tzinfo=timezone.utc)
@@ -33,8 +34,13 @@ RULES = PathRules(
 )
 
 
+# Tables whose rows are expensive to process and few per file.
+_TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows) if name in _TEXT_TABLES else rows
 
 
 def _iso(moment: Column | str) -> Column:

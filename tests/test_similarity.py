@@ -41,7 +41,7 @@ def clustered_vectors(seed: int) -> dict:
     return vectors
 
 
-@pytest.mark.parametrize("block_rows", [None, 20])
+@pytest.mark.parametrize("block_rows", [None, 4])
 def test_neighbours_equal_brute_force(spark, block_rows):
     vectors = clustered_vectors(1)
     df = frame(spark, vectors)
