@@ -63,7 +63,8 @@ def matches(files: DataFrame, rules: PathRules) -> DataFrame:
         )
         for pattern, module in rules.modules
     ]
-    return kept.select(*files.columns, F.inline(F.array_compact(F.array(*hits))))
+    found = F.array(*hits).cast("array<struct<pattern:string,module:string>>")
+    return kept.select(*files.columns, F.inline(F.array_compact(found)))
 
 
 def provenance(files: DataFrame, rules: PathRules) -> DataFrame:
