@@ -115,7 +115,7 @@ def indexable(bugs: DataFrame) -> DataFrame:
     """bugs with a key and some text, with their index document and metadata."""
     return bugs.select(
         "*", text.index_document().alias("document"), text.index_metadata().alias("metadata")
-    ).where((risk.text_or("key") != "") & (F.col("document") != ""))
+    ).where((F.col("key") != "") & (F.col("document") != ""))
 
 
 def invalid_results(results: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _bug_columns(now: datetime) -> list[Column]:
 
 def neglected_bugs(bugs: DataFrame, now: datetime, order_by: str = "key") -> DataFrame:
     """O2: Highest and High bugs nobody has started, Highest first, then oldest."""
-    untouched = risk.text_or("priority", "Medium").isin(*C.NEGLECT_PRIORITIES) & risk.status_in(
+    untouched = F.col("priority").isin(*C.NEGLECT_PRIORITIES) & risk.status_in(
         "status", C.NO_PROGRESS_STATUSES
     )
     found = bugs.where(untouched).select(

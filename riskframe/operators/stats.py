@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe import constants as C
 from riskframe.functions import dates, risk
-from riskframe.scale import with_rank
+from riskframe.scale import settle_small, with_rank
 
 
 def module_of(component: str = "component", default: str = C.UNKNOWN_MODULE) -> Column:
@@ -26,10 +26,10 @@ def priority_histogram(bugs: DataFrame) -> DataFrame:
 def module_stats(bugs: DataFrame, now: datetime, *, by_instant: bool = False) -> DataFrame:
     """One row of statistics per module.
 
-    One scan: bugs are pre-aggregated per (module, priority) before the first
-    shuffle, so one module holding a third of all rows costs no more than the
-    others; the second aggregation sees at most modules x priorities rows.  The
-    table total is a scalar subquery that reads no column data.
+    The bugs are read once.  They are pre-aggregated per (module, priority) before
+    the only shuffle that depends on their number, so one module holding a third of
+    all rows costs no more than the others.  The counts are settled, because the
+    totals per module and the table total both read them.
 
     The trend compares ISO texts.  ``by_instant`` compares parsed instants.
     """
@@ -53,7 +53,8 @@ def module_stats(bugs: DataFrame, now: datetime, *, by_instant: bool = False) ->
             F.count_if("recent").alias("recent"),
         )
     )
-    table_size = bugs.agg(F.count("*")).scalar()
+    by_priority = settle_small(by_priority)
+    table_size = by_priority.agg(F.sum("bugs")).scalar()
     histogram = F.sort_array(F.collect_list(F.struct("priority", "bugs")))
     totals = by_priority.groupBy("module").agg(
         F.sum("bugs").alias("total_bugs"),

@@ -71,8 +71,9 @@ def upsert_results(existing: DataFrame, batch: DataFrame, order: Sequence[str] =
     columns; they tell which of two rows is newer.
     """
     rows = existing.unionByName(batch)
-    keyed = F.coalesce(F.col("bug_key"), F.lit("")) != ""
-    return last_per_key(rows.where(keyed), ["bug_key"], order).unionByName(rows.where(~keyed))
+    keyless = F.col("bug_key").isNull() | (F.col("bug_key") == "")
+    keyed = rows.where(F.col("bug_key") != "")
+    return last_per_key(keyed, ["bug_key"], order).unionByName(rows.where(keyless))
 
 
 def delete_list(plan: DataFrame) -> DataFrame:

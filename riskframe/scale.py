@@ -41,12 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def settle_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Evaluate ``df`` once when it has at most ``max_rows`` rows.
 
-    At most ``max_rows + 1`` rows ever reach the driver.  A larger frame is
-    checkpointed instead, so that its several consumers do not recompute it, and
-    joins against it stay shuffle joins.
+    At most ``max_rows + 1`` rows ever reach the driver.  The result is a local
+    relation, whose size the optimiser knows, so joins against it broadcast exactly
+    when it is below the session's threshold.  A larger frame is checkpointed
+    instead: its consumers do not recompute it, and joins stay shuffle joins.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return checkpointed(df)
     return df.sparkSession.createDataFrame(rows, df.schema)
 
