@@ -32,6 +32,23 @@ def _named_module(query: Column, rows: list) -> Column:
     return reduce(lambda a, b: F.greatest(a, b), hits[1:], hits[0]) if len(hits) > 1 else hits[0]
 
 
+def _contained_modules(queries: DataFrame, modules: DataFrame) -> DataFrame:
+    """``query_id, module, risk_score`` for every module whose name a query contains."""
+    named = modules.withColumn("piece", F.lower("module"))
+    # Name lengths are few numbers however many modules there are.
+    lengths = [row.n for row in named.select(F.length("piece").alias("n")).distinct().collect()]
+    text = F.lower("query")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    pieces = F.flatten(
+        F.transform(
+            F.array(*[F.lit(n) for n in lengths]),
+            lambda n: F.transform(starts, lambda at: text.substr(at, n)),
+        )
+    )
+    exploded = queries.select("query_id", F.explode(F.array_distinct(pieces)).alias("piece"))
+    return exploded.join(named, "piece").select("query_id", "module", "risk_score")
+
+
 def attribute_queries(
     queries: DataFrame, modules: DataFrame, similar: DataFrame | None = None
 ) -> DataFrame:
@@ -43,21 +60,17 @@ def attribute_queries(
     ``similar`` has ``query_id, component, rank`` for up to three bugs per query.
 
     The module table is read to the driver after a size check; up to
-    ``MAX_MODULES`` names become literals of one expression, more are matched in a
-    join against the table.
+    ``MAX_MODULES`` names become literals of one expression.  More are matched by an
+    equi-join on the pieces of the query that are as long as some module name.
     """
     table = modules.select("module", "risk_score")
     rows = table.orderBy("module").limit(MAX_MODULES + 1).collect()
     if len(rows) <= MAX_MODULES:
         named = queries.select("query_id", _named_module(F.col("query"), rows).alias("best"))
     else:
-        candidates = queries.join(
-            table.where("risk_score > 0"), F.expr("contains(lower(query), lower(module))")
-        )
+        candidates = _contained_modules(queries, table.where("risk_score > 0"))
         best = candidates.groupBy("query_id").agg(
-            F.max(F.struct(F.col("risk_score").alias("score"), F.lit(0).alias("turn"), "module")).alias(
-                "best"
-            )
+            F.min(F.struct((-F.col("risk_score")).alias("turn"), "module")).alias("best")
         )
         named = queries.select("query_id").join(best, "query_id", "left")
     direct = named.select("query_id", F.col("best.module").alias("named"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from riskframe import schemas
+from riskframe.operators.sync import upsert_results
 
 
 def _folder(spark: SparkSession, path: str):
@@ -73,10 +74,57 @@ class VersionedTable:
             files.delete(location, True)
 
 
-def results_table(spark: SparkSession, path: str, origin: str = "live") -> VersionedTable:
-    """Analysis results with the number of the batch that wrote them."""
+class ResultStore:
+    """Results as a compacted base and small batches on top.
+
+    A batch is written beside the base and costs what it holds, however large the
+    table is; reading keeps the newest row per ``bug_key``.  Every row carries the
+    number of its batch in ``seq``, numbers only grow, and a repeated batch replaces
+    itself.
+    """
+
     schema = T.StructType([*schemas.RESULT.fields, T.StructField("seq", T.LongType())])
-    return VersionedTable(spark, path, schema, origin)
+
+    def __init__(self, spark: SparkSession, path: str, origin: str = "live"):
+        self.spark = spark
+        self._base = VersionedTable(spark, f"{path.rstrip('/')}/base", self.schema, origin)
+        self._batches = f"{path.rstrip('/')}/batches/origin={origin}"
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        """Write one batch; ``rows`` has the result columns."""
+        columns = [F.col(field.name).cast(field.dataType) for field in schemas.RESULT]
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self._batches}/seq={batch}")
+
+    def read(self) -> DataFrame:
+        """Newest row per key, and every row without a key."""
+        base = self._base.read()
+        location, files = _folder(self.spark, self._batches)
+        if not files.exists(location):
+            return base
+        merged = self._merged_up_to(base)
+        batches = self.spark.read.schema(self.schema).parquet(self._batches)
+        return upsert_results(base, batches.where(F.col("seq") > merged).select(*base.columns))
+
+    def compact(self) -> None:
+        """Fold the batches into the base; readers see the same rows before and after."""
+        last = self._last_batch()
+        self._base.replace(self.read())
+        # Batches up to the highest number in the base are no longer read.
+        for number in range(last + 1):
+            location, files = _folder(self.spark, f"{self._batches}/seq={number}")
+            files.delete(location, True)
+
+    def _last_batch(self) -> int:
+        location, files = _folder(self.spark, self._batches)
+        if not files.exists(location):
+            return -1
+        names = [status.getPath().getName() for status in files.listStatus(location)]
+        return max((int(n.split("=")[1]) for n in names if n.startswith("seq=")), default=-1)
+
+    @staticmethod
+    def _merged_up_to(base: DataFrame) -> int:
+        highest = base.agg(F.max("seq")).first()[0]
+        return -1 if highest is None else highest
 
 
 def density_table(spark: SparkSession, path: str, origin: str = "live") -> VersionedTable:

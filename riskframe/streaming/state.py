@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from riskframe import constants as C
 from riskframe.operators import lookup, quota, stats
 from riskframe.plans.index_sync import SyncReport, sync_index
-from riskframe.sources.tables import VersionedTable
+from riskframe.sources.tables import VersionedTable, read_history
+
+_DECIDED = T.StructType(
+    [
+        T.StructField("ts", T.TimestampType()), T.StructField("id", T.LongType()),
+        T.StructField("ok", T.BooleanType()), T.StructField("accepted", T.BooleanType()),
+        T.StructField("batch", T.LongType()),
+    ]
+)
 
 
 def _start(stream: DataFrame, handle, checkpoint: str) -> StreamingQuery:
@@ -64,28 +72,30 @@ def run_module_trend(
 
 
 def run_quota_gate(
-    requests: DataFrame,
-    accepted: VersionedTable,
-    checkpoint: str,
-    limit: int = C.DAILY_REQUEST_LIMIT,
+    requests: DataFrame, path: str, checkpoint: str, limit: int = C.DAILY_REQUEST_LIMIT
 ) -> StreamingQuery:
     """K4: admit requests of a stream up to the daily limit.
 
-    Earlier batches count through the successes already stored for the same days;
-    they sort before every row of the batch.
+    Each batch is written to its own folder under ``path`` as ``ts, id, ok,
+    accepted``.  Earlier batches count through their accepted successes on the same
+    days; they sort before every row of the batch.
     """
-
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        columns = ("ts", "id", "ok", "batch")
+        pool = batch.select(
+            "ts", "id", "ok", F.lit(batch_id).cast("bigint").alias("batch")
+        )
+        stored = read_history(spark, path, _DECIDED)
         days = batch.select(F.to_date("ts").alias("day")).distinct()
-        stored = accepted.read().where(F.col("batch") != batch_id)
-        same_days = stored.where("accepted").join(
-            days, F.to_date(stored["ts"]) == F.col("day"), "left_semi"
+        earlier = stored.where(
+            (F.col("batch") != batch_id) & F.col("accepted") & F.col("ok")
+        ).join(days, F.to_date(stored["ts"]) == F.col("day"), "left_semi")
+        judged = quota.daily_quota(
+            earlier.select(*columns).unionByName(pool), limit, order=("batch", "ts", "id")
         )
-        columns = ("ts", "id", "ok", "batch")
-        pool = same_days.select(*columns).unionByName(
-            batch.select("ts", "id", "ok", F.lit(batch_id).cast("bigint").alias("batch"))
+        judged.where(F.col("batch") == batch_id).drop("batch").write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
         )
-        judged = quota.daily_quota(pool, limit, order=("batch", "ts", "id"))
-        accepted.replace(stored.unionByName(judged.where(F.col("batch") == batch_id)))
 
     return _start(requests, handle, checkpoint)

@@ -8,11 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskframe.functions import risk
-from riskframe.operators import lookup, sync
+from riskframe.operators import lookup
 from riskframe.schemas import TRACKER_EVENT
 from riskframe.sources import bugs as bug_sources
-from riskframe.sources.tables import VersionedTable
+from riskframe.sources.tables import ResultStore
 
 
 def event_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -40,8 +39,8 @@ def scored_events(events: DataFrame, modules: DataFrame, now: datetime) -> DataF
     return scored.unionByName(bug_sources.skipped_events(supported))
 
 
-def as_results(scored: DataFrame, now: datetime, seq: int) -> DataFrame:
-    """Complete result rows with the number of the batch that produced them."""
+def as_results(scored: DataFrame, now: datetime) -> DataFrame:
+    """Complete result rows; the reply fields stay empty until a reply arrives."""
     empty = F.array().cast("array<string>")
     return scored.select(
         "*",
@@ -50,34 +49,31 @@ def as_results(scored: DataFrame, now: datetime, seq: int) -> DataFrame:
             for name in ("affected_modules", "test_scenarios", "recommended_actions")
         ],
         F.lit(now.replace(tzinfo=None).isoformat()).alias("analyzed_at"),
-        F.lit(seq).cast("bigint").alias("seq"),
     )
 
 
 def run_webhook_stream(
     events: DataFrame,
     load_modules: Callable[[], DataFrame],
-    results: VersionedTable,
+    results: ResultStore,
     history_path: str,
     checkpoint: str,
     clock: Callable[[], datetime],
 ) -> StreamingQuery:
     """Score each micro-batch, upsert the results and append to the history.
 
-    A batch that is repeated after a failure is recognised by its number: the upsert
-    replaces its own rows, and the history folder of the batch is rewritten.
+    Both writes go to a folder named by the batch number, so a batch that is repeated
+    after a failure replaces its own rows, and neither reads what is already stored.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = clock()
-        rows = as_results(scored_events(batch, load_modules(), now), now, batch_id).persist()
-        try:
-            existing = results.read().where(F.col("seq") != batch_id)
-            keyed = rows.where(risk.text_or("bug_key") != "")
-            results.replace(sync.upsert_results(existing, keyed))
-            rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        rows = as_results(scored_events(batch, load_modules(), now), now)
+        rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        written = rows.sparkSession.read.schema(rows.schema).parquet(
+            f"{history_path}/batch={batch_id}"
+        )
+        results.add(written.where(F.col("bug_key") != ""), batch_id)
 
     return (
         events.writeStream.foreachBatch(handle)
@@ -85,4 +81,3 @@ def run_webhook_stream(
         .trigger(availableNow=True)
         .start()
     )
-

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskframe import constants as C, schemas
 from riskframe.functions import dates, richtext, risk, text
 from riskframe.functions.vectors import HashedTextEmbedder
-from riskframe.operators import classify, lookup, prompts, quota, stats, sync
+from riskframe.operators import attribution, classify, lookup, prompts, quota, stats, sync
 from riskframe.plans.index_sync import sync_index
 from riskframe.scale import with_rank
 from riskframe.sources import bugs as bug_sources, tables
@@ -303,3 +303,21 @@ def test_lookup_and_resolution(spark):
     wanted = spark.createDataFrame([("a",), ("z",)], "key string")
     rows = {row.key: (row.found, row.summary) for row in lookup.resolve_keys(wanted, bugs, ["pos"]).collect()}
     assert rows == {"a": (True, "y"), "z": (False, None)}
+
+
+def test_many_modules_are_matched_by_join_with_the_same_result(spark, monkeypatch):
+    modules = spark.createDataFrame(
+        [("Pay", 50), ("Payment", 90), ("UI", 90), ("Zero", 0)], "module string, risk_score int"
+    )
+    queries = spark.createDataFrame(
+        [(1, "payment UI"), (2, "pay"), (3, "zero"), (4, ""), (5, "PAYMEN")], "query_id int, query string"
+    )
+    similar = spark.createDataFrame(
+        [(3, "Pay", 2), (3, "Gone", 1), (4, "Pay", 1), (4, "Gone", 2), (4, "Gone", 3)],
+        "query_id int, component string, rank int",
+    )
+    expected = {1: ("Payment", 90), 2: ("Pay", 50), 3: ("Gone", 0), 4: ("Gone", 0), 5: ("Pay", 50)}
+    for limit in (2000, 0):
+        monkeypatch.setattr(attribution, "MAX_MODULES", limit)
+        rows = attribution.attribute_queries(queries, modules, similar).collect()
+        assert {row.query_id: (row.module, row.risk_score) for row in rows} == expected

@@ -30,7 +30,7 @@ def write(path, lines):
 
 def test_webhook_stream(spark, tmp_path):
     modules = module_risk(sample_bugs(spark), APRIL).cache()
-    results = tables.results_table(spark, str(tmp_path / "results"))
+    results = tables.ResultStore(spark, str(tmp_path / "results"))
 
     def run():
         stream = webhook.event_stream(spark, str(tmp_path / "in"), max_files=1)
@@ -46,8 +46,14 @@ def test_webhook_stream(spark, tmp_path):
     assert {row.bug_key: (row.risk_score, row.risk_level) for row in results.read().collect()} == {
         "A": (42, "MEDIUM"), "B": (0, "LOW"),
     }
+    before = sorted(map(str, results.read().collect()))
+    results.compact()
+    assert sorted(map(str, results.read().collect())) == before
+    write(tmp_path / "in" / "3.json", [event("C")])
+    run()
+    assert {row.bug_key for row in results.read().collect()} == {"A", "B", "C"}
     history = spark.read.parquet(str(tmp_path / "history"))
-    assert history.count() == 4
+    assert history.count() == 5
     skipped = history.where("bug_key is null").first()
     assert skipped.reasoning == "Issue type 'Task' is not a Bug. Skipped." and skipped.risk_score == 0
 
@@ -96,9 +102,7 @@ def test_module_trend_stream(spark, tmp_path):
 
 
 def test_quota_stream(spark, tmp_path):
-    fields = "ts timestamp, id bigint, ok boolean, batch bigint, accepted boolean"
-    schema = spark.createDataFrame([], fields).schema
-    store = tables.VersionedTable(spark, str(tmp_path / "accepted"), schema)
+    store = str(tmp_path / "decided")
 
     def run():
         stream = spark.readStream.schema("ts timestamp, id bigint, ok boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
@@ -111,7 +115,7 @@ def test_quota_stream(spark, tmp_path):
     run()
     write(tmp_path / "in" / "2.json", [request(4), request(5), request(6, day=2)])
     run()
-    assert {row.id: row.accepted for row in store.read().collect()} == {
+    assert {row.id: row.accepted for row in spark.read.parquet(store).collect()} == {
         1: True, 2: True, 3: True, 4: True, 5: False, 6: True,
     }
 
