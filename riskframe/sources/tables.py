@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from riskframe import schemas
 from riskframe.operators.sync import upsert_results
+from riskframe.scale import with_rank
 
 
 def _folder(spark: SparkSession, path: str):
@@ -172,9 +173,9 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
-def newest_first(history: DataFrame, *order: Column | str) -> DataFrame:
-    """History in reverse order of arrival."""
-    return history.orderBy(*[F.desc(item) if isinstance(item, str) else item.desc() for item in order])
+def newest_first(history: DataFrame, *order: str) -> DataFrame:
+    """History in reverse order of arrival, numbered by ``rank``."""
+    return with_rank(history, [F.desc(name) for name in order])
 
 
 def read_json_or_quarantine(

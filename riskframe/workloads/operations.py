@@ -11,6 +11,7 @@ from riskframe.operators import lookup, prompts, quota, stats, sync
 from riskframe.plans import analysis
 from riskframe.plans.module_risk import module_risk
 from riskframe.schemas import TRACKER_EVENT
+from riskframe.sources import tables
 from riskframe.streaming.webhook import scored_events
 from riskframe.streaming.weekly import weekly_counts
 from riskframe.workloads import sqlviews as V, views
@@ -166,6 +167,19 @@ def invalid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bug_key", "risk_score")
 
 
+@query(
+    "o10_history",
+    f"""{V.with_views(V.RESULTS_NEW)}, arrivals AS (
+      SELECT query, risk_score, row_number() OVER (ORDER BY query DESC, risk_score DESC) AS rank
+      FROM (SELECT DISTINCT query, risk_score FROM results_new))
+    SELECT query, risk_score, rank FROM arrivals""",
+)
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History newest first; query and score stand for the time of arrival."""
+    rows = views.results_new(spark, sf_dir).select("query", "risk_score").distinct()
+    return tables.newest_first(rows, "query", "risk_score")
+
+
 # --- limits ------------------------------------------------------------------
 
 _STATES = f"""WITH {V.ATTEMPTS},

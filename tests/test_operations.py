@@ -321,3 +321,24 @@ def test_many_modules_are_matched_by_join_with_the_same_result(spark, monkeypatc
         monkeypatch.setattr(attribution, "MAX_MODULES", limit)
         rows = attribution.attribute_queries(queries, modules, similar).collect()
         assert {row.query_id: (row.module, row.risk_score) for row in rows} == expected
+
+
+def test_history_and_reports_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "bug_key string, seq int")
+    path = str(tmp_path / "history")
+    assert tables.read_history(spark, path, rows.schema).isEmpty()
+    tables.append_history(rows, path)
+    tables.append_history(rows.withColumn("seq", F.lit(2)), path)
+    newest = tables.newest_first(tables.read_history(spark, path, rows.schema), "seq").collect()
+    assert [(row.seq, row.rank) for row in sorted(newest, key=lambda r: r.rank)] == [(2, 1), (1, 2)]
+    reports = spark.createDataFrame([(7, "# Title\nline")], "change_id int, report string")
+    tables.write_reports(reports, str(tmp_path / "reports"))
+    files = list((tmp_path / "reports" / "change_id=7").glob("*.txt"))
+    assert [file.read_text() for file in files] == ["# Title\nline\n"]
+
+
+def test_keyword_rules_from_a_table(spark):
+    table = spark.createDataFrame([(0, "Ops", "Deploy")], "position int, component string, keyword string")
+    rules = classify.rules_from(table)
+    df = spark.createDataFrame([("deploy failed",)], "t string")
+    assert df.select(classify.classify_text(F.col("t"), rules)).first()[0] == "Ops"
