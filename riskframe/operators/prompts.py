@@ -21,7 +21,7 @@ DEFAULT_INSTRUCTIONS = (
 
 
 def _number(value: Column, decimals: int, suffix: str = "") -> Column:
-    return F.format_string(f"%.{decimals}f{suffix}", value)
+    return F.format_string(f"%.{decimals}f{suffix}", F.bround(value, decimals))
 
 
 def module_block(modules: DataFrame) -> Column:

@@ -51,11 +51,11 @@ def read_bug_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Issues from saved search pages, one JSON page per line or per file."""
-    pages = spark.read.schema(SEARCH_PAGE).json(path)
-    multi_line = spark.read.schema(SEARCH_PAGE).json(path, multiLine=True)
-    source = pages if path.endswith((".jsonl", ".ndjson")) else multi_line
-    return source.select(F.inline("issues"))
+    """Issues from saved search pages: one page per line in ``.jsonl`` and
+    ``.ndjson`` files, otherwise one page per file."""
+    per_line = path.endswith((".jsonl", ".ndjson"))
+    pages = spark.read.schema(SEARCH_PAGE).json(path, multiLine=not per_line)
+    return pages.select(F.inline("issues"))
 
 
 def _name(column: str, default: str) -> Column:
