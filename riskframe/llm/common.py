@@ -94,45 +94,103 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of a filter that thins rows before a join; a fixed size, whatever is looked for.
+FILTER_BITS = 1 << 22
+
+
+def may_hold(column: str, wanted: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """A condition that is true for every value of ``wanted`` (one column) and few others.
+
+    It only saves shuffling; an exact join has to follow.  The filter has a fixed size,
+    so with very many values it lets more through but stays correct.
+    """
+    spark = wanted.sparkSession
+    hashed = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(2)]
+    places = wanted.select(F.explode(F.array(*hashed(F.col(wanted.columns[0])))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits")
+    )
+    found = words.toArrow()  # at most bits / 64 rows
+    filled = np.zeros(bits // 64, np.int64)
+    filled[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    table = F.split(F.lit(",".join(map(str, filled.tolist()))), ",").cast("array<bigint>")
+    answer = F.lit(True)
+    for place in hashed(F.col(column)):
+        word = F.get(table, F.shiftright(place, 6).cast("int"))
+        bit = F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int"))
+        answer = answer & (bit.bitwiseAND(F.lit(1)) == 1)
+    return answer
+
+
+def all_pairs(own: np.ndarray, other: np.ndarray, _: list, __: list) -> tuple[np.ndarray, np.ndarray]:
+    """Every index of ``own`` with every index of ``other``."""
+    i, j = np.meshgrid(np.arange(len(own)), np.arange(len(other)), indexing="ij")
+    return i.ravel(), j.ravel()
+
+
 def linked_by_keys(
     keys: DataFrame,
     verified: Callable[[DataFrame], DataFrame],
-    bounded: Callable[[DataFrame], DataFrame] | None = None,
+    points: DataFrame | None = None,
+    pairing: Callable = all_pairs,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """(id, component) over all links between ids that share a key.
-
-    ``keys`` holds (key, id) of distinct texts, already restricted to keys with
-    several ids; ``verified`` keeps the true links among pairs (a, b).  First every
-    id meets the smallest id of each of its keys.  Most members of a large group are
-    then in one component, so pairs inside it need no further look.  Keys that still
-    hold several components are finished exactly: their members go to chunks of
-    bounded size, and pairs across components are formed chunk against chunk.
-    ``bounded`` may thin those pairs before they are verified.
+    """(id, component) over all true links between ids that share a key.
+
+    ``keys`` holds (key, id); ``verified`` keeps the true links among pairs (a, b).
+
+    * Minimum, maximum and count per key are combined before the shuffle.  A key with
+      two ids is one pair.  In a larger one every id first meets the smallest id.
+    * Most members of a large group are then in one component, and pairs inside it
+      need no further look.  Keys that still hold several components are finished
+      exactly: members go to chunks of bounded size, and chunk meets chunk.
+      ``pairing`` names the pairs of two chunks that can link at all; it sees the
+      ``point`` of each member where ``points`` (id, point) is given.
     """
-    pivots = checkpointed(keys.groupBy("key").agg(F.min("id").alias("b")))
-    stars = keys.join(pivots, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    first = checkpointed(verified(stars))
+    summary = stored(
+        keys.groupBy("key")
+        .agg(F.min("id").alias("b"), F.max("id").alias("a"), F.count("*").alias("n"))
+        .where("a > b")
+    )
+    many = summary.where("n > 2").select("key", "b")
+    members = stored(
+        keys.where(may_hold("key", many.select("key"))).join(many, "key").select("key", "id", "b").distinct()
+    )
+    stars = summary.where("n = 2").select("a", "b").union(members.where("id <> b").select(F.col("id").alias("a"), "b"))
+    first = checkpointed(verified(stars.distinct()))
     found = checkpointed(components(first))
-    placed = keys.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = (
+    placed = checkpointed(
+        members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    )
+    open_keys = checkpointed(
         placed.groupBy("key")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
         .where("least < most")
         .select("key", F.ceil(F.col("n") / chunk).cast("long").alias("chunks"))
     )
-    rest = checkpointed(
-        placed.join(checkpointed(open_keys), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    )
-    if rest.isEmpty():
-        return found
-    with_chunk = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cell = [F.col("key"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    members = with_chunk.select(*cell, "id", "component", "own")
-    left = members.where("own = low").select("key", "low", "high", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = members.where("own = high").select("key", "low", "high", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, ["key", "low", "high"]).where("ca <> cb")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = pairs.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = verified(bounded(pairs) if bounded else pairs)
-    return components(first.select("a", "b").union(second.select("a", "b")))
+    rest = placed.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    if points is not None:
+        rest = rest.join(points, "id")
+    rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+    pointed = points is not None
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, component, own = (group.column(c).to_numpy() for c in ("id", "component", "own"))
+        point = group.column("point").to_pylist() if pointed else None
+        high = group.column("high")[0].as_py()
+        same = group.column("low")[0].as_py() == high
+        one = np.flatnonzero(own == group.column("low")[0].as_py())
+        two = one if same else np.flatnonzero(own == high)
+        some = lambda at: [point[i] for i in at] if point else []
+        i, j = pairing(one, two, some(one), some(two))
+        i, j = one[i], two[j]
+        good = component[i] != component[j]
+        a, b = ids[i[good]], ids[j[good]]
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    met = rest.groupBy("key", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+    second = verified(met.join(stars.distinct(), ["a", "b"], "left_anti"))
+    return components(first.union(second))

@@ -31,6 +31,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def _cut(found: DataFrame) -> DataFrame:
+    """Digest of documents whose text was cut."""
+    return found.select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm.line_dedup import dedup_lines
+
+    return _cut(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm.quality import fit_quality, judged
@@ -69,6 +92,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm.paragraph_dedup import dedup_paragraphs
+
+    return _cut(dedup_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
