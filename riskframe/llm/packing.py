@@ -39,7 +39,9 @@ WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u
 #: A text that holds one of these may name a special token of the vocabulary.
 SPECIAL = "<|"
 #: Units whose ids a worker keeps; the rest are encoded whenever they occur.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 150_000
+#: New units that are encoded in one call; each result holds much more than its ids.
+FRESH_UNITS = 4_000
 
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -53,8 +55,11 @@ class Encoder:
         self.units: dict[str, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        result = []
+        for low in range(0, len(texts), FRESH_UNITS):
+            found = self.tokenizer.encode_batch_fast(texts[low : low + FRESH_UNITS], add_special_tokens=False)
+            result += [array("I", x.ids).tobytes() for x in found]
+        return result
 
     @staticmethod
     def _cut(text: str) -> list[str] | None:
@@ -120,8 +125,8 @@ def pieces(
         tokens = encoder(path)
         gc.disable()  # the lists of one batch hold no cycles
         for part in parts:
-            for low in range(0, part.num_rows, 500):
-                some = part.slice(low, 500)
+            for low in range(0, part.num_rows, 200):
+                some = part.slice(low, 200)
                 found = [cut_ids(ids + end, capacity) for ids in tokens.encode([t or "" for t in some.column(1).to_pylist()])]
                 rows = np.array([(r, k, *p) for r, ps in enumerate(found) for k, p in enumerate(ps)], np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
