@@ -39,7 +39,7 @@ WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u
 #: A text that holds one of these may name a special token of the vocabulary.
 SPECIAL = "<|"
 #: Units whose ids a worker keeps; the rest are encoded whenever they occur.
-KEPT_UNITS = 150_000
+KEPT_UNITS = 300_000
 #: New units that are encoded in one call; each result holds much more than its ids.
 FRESH_UNITS = 4_000
 
@@ -123,11 +123,12 @@ def pieces(
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
-        gc.disable()  # the lists of one batch hold no cycles
         for part in parts:
             for low in range(0, part.num_rows, 200):
                 some = part.slice(low, 200)
+                gc.disable()  # many lists, no cycles
                 found = [cut_ids(ids + end, capacity) for ids in tokens.encode([t or "" for t in some.column(1).to_pylist()])]
+                gc.enable()
                 rows = np.array([(r, k, *p) for r, ps in enumerate(found) for k, p in enumerate(ps)], np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1].astype(np.int32)), *map(pa.array, rows[:, 2:].T)],
