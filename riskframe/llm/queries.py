@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm.sentencepiece_sampling import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 @query("op2_embedding_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm.embedding_dedup import embedding_links
