@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm.suffix_dedup import dedup_bytes
+
+    return dedup_bytes(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm.sentencepiece_sampling import encode_documents
