@@ -13,6 +13,8 @@ from riskframe.scale import checkpointed, ensure_checkpoint_dir
 
 #: Members of one key that meet in one task when links across components are sought.
 CHUNK = 1_000
+#: Times that members outside a key's first component meet a drawn member of it.
+PIVOT_ROUNDS = 3
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -142,8 +144,10 @@ def linked_by_keys(
     * Minimum, maximum and count per key are combined before the shuffle.  A key with
       two ids is one pair.  In a larger one every id first meets the smallest id.
     * Most members of a large group are then in one component, and pairs inside it
-      need no further look.  Keys that still hold several components are finished
-      exactly: members go to chunks of bounded size, and chunk meets chunk.
+      need no further look.  Members outside it meet a member of the first component
+      drawn for each of their keys, a few times over.
+    * Keys that still hold several components are finished exactly: members go to
+      chunks of bounded size, and chunk meets chunk.
       ``pairing`` names the pairs of two chunks that can link at all; it sees the
       ``point`` of each member where ``points`` (id, point) is given.
     """
@@ -157,11 +161,33 @@ def linked_by_keys(
         keys.where(may_hold("key", many.select("key"))).join(many, "key").select("key", "id", "b").distinct()
     )
     stars = summary.where("n = 2").select("a", "b").union(members.where("id <> b").select(F.col("id").alias("a"), "b"))
-    first = checkpointed(verified(stars.distinct()))
-    found = checkpointed(components(first))
-    placed = checkpointed(
-        members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    )
+    tested = stored(stars.distinct())
+    links = checkpointed(verified(tested))
+    members = members.select("key", "id")
+
+    def placed_by(found: DataFrame) -> DataFrame:
+        joined = members.join(found, "id", "left")
+        return checkpointed(joined.select("key", "id", F.coalesce("component", "id").alias("component")))
+
+    found = checkpointed(components(links))
+    placed = placed_by(found)
+    for k in range(PIVOT_ROUNDS):
+        drawn = F.struct("component", F.xxhash64("id", "key", F.lit(k)))
+        pivots = checkpointed(
+            placed.groupBy("key")
+            .agg(F.min_by(F.struct("id", "component"), drawn).alias("p"), F.max("component").alias("most"))
+            .where("p.component < most")
+            .select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("reached"))
+        )
+        pairs = placed.join(pivots, "key").where("component <> reached")
+        pairs = pairs.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        links = checkpointed(links.union(verified(pairs)))
+        tested = tested.union(pairs)
+        found = checkpointed(components(links))
+        placed = placed_by(found)
     open_keys = checkpointed(
         placed.groupBy("key")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
@@ -192,5 +218,7 @@ def linked_by_keys(
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     met = rest.groupBy("key", "low", "high").applyInArrow(meet, "a long, b long").distinct()
-    second = verified(met.join(stars.distinct(), ["a", "b"], "left_anti"))
-    return components(first.union(second))
+    met = stored(met.join(tested, ["a", "b"], "left_anti"))
+    if met.isEmpty():
+        return found
+    return components(links.union(verified(met)))
