@@ -21,11 +21,6 @@ from riskframe import constants as C
 from riskframe.functions import risk
 from riskframe.functions.text import query_text, strip
 
-try:
-    import ahocorasick
-except ImportError:  # the built-in engine needs no extra library
-    ahocorasick = None
-
 Rules = Sequence[tuple[int, str, str]]
 
 
@@ -86,6 +81,8 @@ def _arrow_classifier(rules: Rules):
 
     @F.pandas_udf("string")
     def classified(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
         automaton = ahocorasick.Automaton()
         for number, word in enumerate(words):
             automaton.add_word(word, number)
@@ -95,17 +92,21 @@ def _arrow_classifier(rules: Rules):
     return classified
 
 
-def classify_text(text: Column, rules: Rules | None = None, engine: str | None = None) -> Column:
-    """Component of a text, ``Genel`` when no keyword occurs."""
+def classify_text(text: Column, rules: Rules | None = None, engine: str = "arrow") -> Column:
+    """Component of a text, ``Genel`` when no keyword occurs.
+
+    ``arrow`` needs the ``ahocorasick`` package on every executor; ``jvm`` needs none.
+    """
+    if engine not in ("arrow", "jvm"):
+        raise ValueError(f"no engine {engine!r}")
     rules = list(rules if rules is not None else C.keyword_table())
-    engine = engine or ("arrow" if ahocorasick else "jvm")
     if engine == "arrow":
         return _arrow_classifier(rules)(text)
     return _best_component(_jvm_scores(F.lower(text), rules), _components(rules))
 
 
 def classify_bugs(
-    bugs: DataFrame, rules: Rules | None = None, engine: str | None = None
+    bugs: DataFrame, rules: Rules | None = None, engine: str = "arrow"
 ) -> DataFrame:
     """Fill the component of bugs where it is blank or ``Unknown``.
 

@@ -83,11 +83,13 @@ def user_prompts(
     modules: DataFrame,
     similar: DataFrame | None = None,
     instructions: str = DEFAULT_INSTRUCTIONS,
+    bug_details: bool = True,
 ) -> DataFrame:
     """``key, prompt`` per target.
 
     ``targets`` has the bug columns, ``query`` and ``risk_score, risk_level``.
-    Without ``similar`` this is the webhook prompt (C13).
+    Without ``similar`` this is the webhook prompt (C13).  Free-text targets have no
+    bug columns; ``bug_details=False`` leaves that section out.
     """
 
     def field(name: str) -> Column:
@@ -97,21 +99,26 @@ def user_prompts(
         targets = targets.join(similar_lines(similar), "key", "left")
     else:
         targets = targets.withColumn("similar", F.lit(None).cast("string"))
-    description = risk.text_or("description")
-    limit = C.PROMPT_DESCRIPTION_LIMIT
-    shown = F.when(
-        F.length(description) > limit, F.concat(F.substring(description, 1, limit), F.lit("..."))
-    ).otherwise(description)
+    details = F.lit("")
+    if bug_details:
+        description = risk.text_or("description")
+        limit = C.PROMPT_DESCRIPTION_LIMIT
+        shown = F.when(
+            F.length(description) > limit, F.concat(F.substring(description, 1, limit), F.lit("..."))
+        ).otherwise(description)
+        details = F.concat(
+            F.lit("\n\n## Bug Details\nKey: "), field("key"),
+            F.lit("\nSummary: "), field("summary"),
+            F.lit("\nPriority: "), field("priority"),
+            F.lit("\nStatus: "), field("status"),
+            F.lit("\nModule/Component: "), field("component"),
+            F.when(description != "", F.concat(F.lit("\nDescription: "), shown)).otherwise(""),
+        )
     prompt = F.concat(
         F.lit("## Analysis Target\nQuery: "), risk.text_or("query"),
         F.lit("\nPre-calculated Risk Score: "), F.col("risk_score").cast("string"),
         F.lit("/100\nPre-calculated Risk Level: "), F.col("risk_level"),
-        F.lit("\n\n## Bug Details\nKey: "), field("key"),
-        F.lit("\nSummary: "), field("summary"),
-        F.lit("\nPriority: "), field("priority"),
-        F.lit("\nStatus: "), field("status"),
-        F.lit("\nModule/Component: "), field("component"),
-        F.when(description != "", F.concat(F.lit("\nDescription: "), shown)).otherwise(""),
+        details,
         F.lit("\n\n## Module Statistics (Pre-calculated)\n"), module_block(modules),
         F.lit("\n\n## Similar Historical Bugs (from vector database)\n"),
         F.coalesce("similar", F.lit("  No similar bugs found in history.")),

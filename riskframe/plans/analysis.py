@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators import lookup, prompts, tokens
 from riskframe.operators.neighbours import top_neighbours
+from riskframe.plans.attribution import attribute_queries
 from riskframe.scale import settle_small
 
 SIMILAR_BUGS = 5
@@ -58,6 +59,42 @@ def prepare_prompts(
     return PromptBatch(targets, shown, prompts.user_prompts(shown, modules, similar), entries)
 
 
+def prepare_query_prompts(
+    queries: DataFrame,
+    modules: DataFrame,
+    index: DataFrame,
+    embedder=None,
+    *,
+    mask: bool = True,
+    known: DataFrame | None = None,
+    instructions: str = prompts.DEFAULT_INSTRUCTIONS,
+) -> PromptBatch:
+    """Prompts of free-text requests (``query_id, query`` and optionally ``query_vec``).
+
+    The risk is that of the module the query is attributed to; similar bugs come from
+    the index (``key, doc_vec, metadata``), and there is no bug section.
+    """
+    if "query_vec" not in queries.columns:
+        queries = embedder.embed(queries, "query", "query_vec")
+    modules = settle_small(modules)
+    scored = attribute_queries(queries, modules, index)
+    asked = queries.select("query_id", "query").join(scored, "query_id")
+    targets = asked.select(F.col("query_id").alias("key"), "query", "risk_score", "risk_level")
+    near = top_neighbours(queries, index, SIMILAR_BUGS, query_key="query_id")
+    others = index.join(near.select("dst").distinct(), index["key"] == F.col("dst"), "left_semi")
+    others = others.select("key", *[F.col(f"metadata.{name}") for name in _SHOWN[1:]])
+    shown, entries = targets, None
+    if mask:
+        shown, entries = tokens.mask_table(targets, ["query"], known)
+        map_so_far = entries if known is None else known.unionByName(entries)
+        others, more = tokens.mask_table(others, list(_SHOWN[1:]), map_so_far)
+        entries = entries.unionByName(more)
+    other = others.select(F.col("key").alias("dst"), F.struct(*_SHOWN).alias("other"))
+    similar = near.join(other, "dst").select(F.col("src").alias("key"), "rank", "other")
+    rows = prompts.user_prompts(shown, modules, similar, instructions, bug_details=False)
+    return PromptBatch(targets, shown, rows, entries)
+
+
 def results_from_replies(
     batch: PromptBatch,
     replies: DataFrame,

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -73,11 +72,17 @@ def with_rank(
     Rows are range-partitioned on the whole sort key, sorted in parallel, and
     numbered from per-partition counts, so neither the row count nor one hot
     sort value limits it.  ``order`` has to be total (end with a unique column).
+    The sorted rows are checkpointed: counts and numbers then see the same partitions.
     """
-    os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        numbered = df.orderBy(*order).pandas_api().to_spark(index_col="__position")
-    return numbered.select(
-        *df.columns, (F.col("__position") + F.lit(start)).cast("bigint").alias(name)
+    placed = checkpointed(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
+    before, offsets = 0, []
+    for row in sorted(counts):  # one row per partition
+        offsets.append((row.part, before))
+        before += row.n
+    starts = df.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    within = F.col("__place") - F.shiftleft("__part", 33)
+    return placed.join(F.broadcast(starts), part == F.col("__part")).select(
+        *df.columns, (within + F.col("__before") + F.lit(start)).cast("bigint").alias(name)
     )

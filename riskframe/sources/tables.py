@@ -8,7 +8,7 @@ that finished.  A writer that dies leaves an unfinished version nobody reads.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -138,26 +138,60 @@ def index_table(spark: SparkSession, path: str, origin: str = "live") -> Version
     return VersionedTable(spark, path, schemas.INDEX, origin)
 
 
+#: Errors of Spark that mean a file itself is damaged, not that storage fails for now.
+DAMAGED_FILE = ("CANNOT_READ_FILE_FOOTER", "PARQUET_COLUMN_DATA_TYPE_MISMATCH", "is not a Parquet file")
+
+
 class TokenMap:
-    """The token map, appended to by batch and reset by an empty version."""
+    """The token map, added to by batch and reset by an empty version.
+
+    Every ``add`` writes a batch of its own; ``compact`` folds them into one version.
+    """
 
     def __init__(self, spark: SparkSession, path: str, origin: str = "live"):
         self._table = VersionedTable(spark, path, schemas.PII_MAP, origin)
+        self._batches = f"{path.rstrip('/')}/batches/origin={origin}"
 
-    def read(self) -> DataFrame:
-        """Known tokens; an unreadable map starts fresh."""
+    def _readable(self, known: DataFrame, path: str) -> DataFrame:
+        """``known``, or nothing if a file of it is damaged; the folder is then set aside."""
+        spark = self._table.spark
         try:
-            known = self._table.read()
-            known.limit(1).collect()
+            known.write.format("noop").mode("overwrite").save()
+        except Exception as error:  # noqa: BLE001 - Spark wraps the reader's error in its own
+            if not any(sign in str(error) for sign in DAMAGED_FILE):
+                raise
+            location, files = _folder(spark, path)
+            aside, _ = _folder(spark, f"{path}-damaged-{datetime.now(timezone.utc):%Y%m%d-%H%M%S-%f}")
+            files.rename(location, aside)
+            return spark.createDataFrame([], schemas.PII_MAP)
+        return known
+
+    def read(self) -> DataFrame:
+        """Known tokens; a damaged part of the map is set aside, other errors are raised."""
+        version = self._table.version()
+        known = self._readable(self._table.read(), f"{self._table.path}/version={version:06d}")
+        location, files = _folder(self._table.spark, self._batches)
+        if not files.exists(location):
             return known
-        except Exception:  # noqa: BLE001 - any damage means starting over
-            return self._table.spark.createDataFrame([], schemas.PII_MAP)
+        batches = self._table.spark.read.schema(schemas.PII_MAP).parquet(self._batches)
+        return known.unionByName(self._readable(batches, self._batches)).distinct()
 
     def add(self, entries: DataFrame) -> None:
-        self._table.replace(self.read().unionByName(entries))
+        columns = [F.col(field.name).cast(field.dataType) for field in schemas.PII_MAP]
+        entries.select(*columns).write.mode("append").parquet(self._batches)
+
+    def compact(self) -> None:
+        """Fold the batches into one version."""
+        self._table.replace(self.read())
+        self._drop_batches()
 
     def clear(self) -> None:
         self._table.replace(self._table.spark.createDataFrame([], schemas.PII_MAP))
+        self._drop_batches()
+
+    def _drop_batches(self) -> None:
+        location, files = _folder(self._table.spark, self._batches)
+        files.delete(location, True)
 
 
 def append_history(results: DataFrame, path: str) -> None:

@@ -1,4 +1,8 @@
-"""K2, K4, K5: micro-batches against stored state."""
+"""K2, K4, K5: micro-batches against stored state.
+
+``trigger`` holds the arguments of ``DataStreamWriter.trigger``, for example
+``{"processingTime": "1 minute"}``; by default a run takes what is there and ends.
+"""
 
 from __future__ import annotations
 
@@ -22,11 +26,11 @@ _DECIDED = T.StructType(
 )
 
 
-def _start(stream: DataFrame, handle, checkpoint: str) -> StreamingQuery:
+def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -37,6 +41,7 @@ def run_index_sync(
     embedder,
     checkpoint: str,
     on_report: Callable[[int, SyncReport], None] = lambda batch_id, report: None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """K2: synchronise the index to each arriving snapshot of the bug table.
 
@@ -46,7 +51,7 @@ def run_index_sync(
     def handle(batch: DataFrame, batch_id: int) -> None:
         on_report(batch_id, sync_index(index, batch, embedder))
 
-    return _start(snapshots, handle, checkpoint)
+    return _start(snapshots, handle, checkpoint, trigger)
 
 
 def run_module_trend(
@@ -56,6 +61,7 @@ def run_module_trend(
     clock: Callable[[], datetime],
     checkpoint: str,
     order: tuple[str, ...] = ("updated",),
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """K5: newest version per bug, then the module table recomputed.
 
@@ -67,12 +73,18 @@ def run_module_trend(
         merged = lookup.last_per_key(bugs.read().unionByName(batch), ["key"], order)
         bugs.replace(merged)
         modules.replace(stats.scored(stats.module_stats(bugs.read(), clock())))
+        bugs.drop_old()
+        modules.drop_old()
 
-    return _start(versions, handle, checkpoint)
+    return _start(versions, handle, checkpoint, trigger)
 
 
 def run_quota_gate(
-    requests: DataFrame, path: str, checkpoint: str, limit: int = C.DAILY_REQUEST_LIMIT
+    requests: DataFrame,
+    path: str,
+    checkpoint: str,
+    limit: int = C.DAILY_REQUEST_LIMIT,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """K4: admit requests of a stream up to the daily limit.
 
@@ -98,4 +110,4 @@ def run_quota_gate(
             f"{path}/batch={batch_id}"
         )
 
-    return _start(requests, handle, checkpoint)
+    return _start(requests, handle, checkpoint, trigger)

@@ -59,6 +59,7 @@ def run_webhook_stream(
     history_path: str,
     checkpoint: str,
     clock: Callable[[], datetime],
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Score each micro-batch, upsert the results and append to the history.
 
@@ -78,6 +79,6 @@ def run_webhook_stream(
     return (
         events.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
