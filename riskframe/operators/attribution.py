@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskframe import constants as C
 from riskframe.functions import risk
-from riskframe.scale import SMALL_ROWS
-
-MAX_MODULES = 2_000
-
-
-def _named_module(query: Column, rows: list) -> Column:
-    """Best module whose name the query contains; only scores above 0 count."""
-    hits = [
-        F.when(
-            F.contains(F.lower(query), F.lit(row.module.lower())),
-            F.struct(
-                F.lit(row.risk_score).alias("score"),
-                F.lit(-turn).alias("turn"),
-                F.lit(row.module).alias("module"),
-            ),
-        )
-        for turn, row in enumerate(rows)
-        if row.risk_score > 0
-    ]
-    if not hits:
-        return F.lit(None).cast("struct<score:int,turn:int,module:string>")
-    return reduce(lambda a, b: F.greatest(a, b), hits[1:], hits[0]) if len(hits) > 1 else hits[0]
 
 
 def _contained_modules(queries: DataFrame, modules: DataFrame) -> DataFrame:
@@ -41,7 +17,7 @@ def _contained_modules(queries: DataFrame, modules: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     pieces = F.flatten(
         F.transform(
-            F.array(*[F.lit(n) for n in lengths]),
+            F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
             lambda n: F.transform(starts, lambda at: text.substr(at, n)),
         )
     )
@@ -59,20 +35,15 @@ def attribute_queries(
     score is 0 when the statistics do not know it; otherwise ``Unknown`` with 0.
     ``similar`` has ``query_id, component, rank`` for up to three bugs per query.
 
-    The module table is read to the driver after a size check; up to
-    ``MAX_MODULES`` names become literals of one expression.  More are matched by an
-    equi-join on the pieces of the query that are as long as some module name.
+    Names are found by an equi-join on the pieces of the query that are as long as
+    some module name, however many modules there are.
     """
     table = modules.select("module", "risk_score")
-    rows = table.orderBy("module").limit(MAX_MODULES + 1).collect()
-    if len(rows) <= MAX_MODULES:
-        named = queries.select("query_id", _named_module(F.col("query"), rows).alias("best"))
-    else:
-        candidates = _contained_modules(queries, table.where("risk_score > 0"))
-        best = candidates.groupBy("query_id").agg(
-            F.min(F.struct((-F.col("risk_score")).alias("turn"), "module")).alias("best")
-        )
-        named = queries.select("query_id").join(best, "query_id", "left")
+    candidates = _contained_modules(queries, table.where("risk_score > 0"))
+    best = candidates.groupBy("query_id").agg(
+        F.min(F.struct((-F.col("risk_score")).alias("turn"), "module")).alias("best")
+    )
+    named = queries.select("query_id").join(best, "query_id", "left")
     direct = named.select("query_id", F.col("best.module").alias("named"))
     if similar is not None:
         counted = similar.groupBy(
@@ -86,12 +57,7 @@ def attribute_queries(
     chosen = direct.select(
         "query_id", F.coalesce("named", "common", F.lit(C.UNKNOWN_MODULE)).alias("module")
     )
-    scores = (
-        queries.sparkSession.createDataFrame(rows, table.schema)
-        if len(rows) <= min(MAX_MODULES, SMALL_ROWS)
-        else table
-    )
     score = F.coalesce("risk_score", F.lit(0))
-    return chosen.join(scores, "module", "left").select(
+    return chosen.join(table, "module", "left").select(
         "query_id", "module", score.alias("risk_score"), risk.risk_level(score).alias("risk_level")
     )

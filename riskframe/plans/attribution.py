@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators import attribution, neighbours
-from riskframe.scale import settle_small
+from riskframe.scale import checkpointed, settle_small
 
 SIMILAR_BUGS = 3
 
@@ -19,7 +19,7 @@ def attribute_queries(
     ``key, doc_vec`` and ``metadata``.
     """
     modules = settle_small(modules)
-    direct = attribution.attribute_queries(queries, modules)
+    direct = checkpointed(attribution.attribute_queries(queries, modules))
     open_queries = queries.join(
         direct.where(F.col("risk_score") == 0).select("query_id"), "query_id", "left_semi"
     )
@@ -30,4 +30,5 @@ def attribute_queries(
         .join(index.select(F.col("key").alias("dst"), "metadata.component"), "dst")
         .select(F.col("src").alias("query_id"), "component", "rank")
     )
-    return attribution.attribute_queries(queries, modules, similar)
+    rest = attribution.attribute_queries(open_queries.select(*queries.columns), modules, similar)
+    return direct.where(F.col("risk_score") > 0).unionByName(rest)

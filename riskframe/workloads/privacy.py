@@ -144,7 +144,9 @@ def restored_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c11_mask_record",
-    """SELECT page_id AS key, len(url) - len(url) AS clear_urls, 2 AS items FROM pages""",
+    """WITH hashed AS (SELECT page_id, '[URL_' || left(sha256(url), 8) || ']' AS token FROM pages)
+    SELECT page_id AS key, token AS first_link, 'plain' AS second_link, token AS home, 'plain' AS note
+    FROM hashed""",
 )
 def masked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: plain, list and map columns of one record."""
@@ -153,11 +155,14 @@ def masked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("url", F.lit("plain")).alias("links"),
         F.create_map(F.lit("home"), F.col("url"), F.lit("note"), F.lit("plain")).alias("extra"),
     )
-    masked, _ = tokens.mask_table(pages, ["links", "extra"])
-    clear = F.size(F.filter("links", lambda x: F.contains(x, F.lit("://")))) + F.size(
-        F.filter(F.map_values("extra"), lambda x: F.contains(x, F.lit("://")))
+    masked, _ = tokens.mask_table(pages, ["links", "extra"], tokens="hash")
+    return masked.select(
+        "key",
+        F.get("links", F.lit(0)).alias("first_link"),
+        F.get("links", F.lit(1)).alias("second_link"),
+        F.col("extra.home").alias("home"),
+        F.col("extra.note").alias("note"),
     )
-    return masked.select("key", clear.alias("clear_urls"), F.size("links").alias("items"))
 
 
 @query(

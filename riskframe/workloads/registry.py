@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from riskframe.workloads import changes, operations, privacy, risk, similarity, text  # noqa: F401
+    from riskframe.workloads import changes, operations, privacy, risk, similarity, storage, text  # noqa: F401
