@@ -60,15 +60,19 @@ def mixed(values: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that keep ``edges`` (a, b) from being stars around their smallest node."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    roles = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where("up > 1 OR (up > 0 AND down > 0)").count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the smallest id reachable.
 
-    Alternates two star steps until nothing changes: each node passes the smallest
+    Alternates two star steps until only stars are left: each node passes the smallest
     neighbour it knows first to its larger, then to its smaller neighbours.  Minima
     are combined before the shuffle; they are stored before they are joined, so that
     Spark may split a node with very many links.
@@ -76,21 +80,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpointed(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = _state(edges)
-    while before[0]:
+    while _unsettled(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = checkpointed(large.where("a <> b").distinct())
+        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpointed(large)
         least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(
-            small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        )
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
+        edges = checkpointed(small.union(least.select("a", F.col("m").alias("b"))).distinct())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
@@ -100,46 +97,47 @@ def components(links: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 22
 
 
-def may_hold(column: str, wanted: DataFrame, bits: int = FILTER_BITS) -> Column:
-    """A condition that is true for every value of ``wanted`` (one column) and few others.
+def flagged(df: DataFrame, column: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with ``__may``: true where ``column`` is a value of ``wanted`` (one column), and in few other rows.
 
-    It only saves shuffling; an exact join has to follow.  The filter has a fixed size,
-    so with very many values it lets more through but stays correct.
+    It only saves shuffling; an exact join has to follow.  The filter is a table of at
+    most ``bits / 64`` words, so it can be broadcast however much is looked for; with
+    very many values it lets more through and stays correct.
     """
-    spark = wanted.sparkSession
-    hashed = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(2)]
-    places = wanted.select(F.explode(F.array(*hashed(F.col(wanted.columns[0])))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits")
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(2)]
+    at_bit = lambda p: F.pmod(p, F.lit(64)).cast("int")
+    found = wanted.select(F.explode(F.array(*places(F.col(wanted.columns[0])))).alias("p"))
+    words = checkpointed(
+        found.groupBy(F.shiftright("p", 6).alias("word")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at_bit(F.col("p")))).alias("bits")
+        )
     )
-    found = words.toArrow()  # at most bits / 64 rows
-    filled = np.zeros(bits // 64, np.int64)
-    filled[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    table = F.split(F.lit(",".join(map(str, filled.tolist()))), ",").cast("array<bigint>")
-    answer = F.lit(True)
-    for place in hashed(F.col(column)):
-        word = F.get(table, F.shiftright(place, 6).cast("int"))
-        bit = F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int"))
-        answer = answer & (bit.bitwiseAND(F.lit(1)) == 1)
-    return answer
+    result, answer = df, F.lit(True)
+    for k, place in enumerate(places(F.col(column))):
+        side = words.select(F.col("word").alias(f"__word{k}"), F.col("bits").alias(f"__bits{k}"))
+        result = result.join(F.broadcast(side), F.shiftright(place, 6) == F.col(f"__word{k}"), "left")
+        bit = F.call_function("shiftrightunsigned", F.col(f"__bits{k}"), at_bit(place)).bitwiseAND(F.lit(1))
+        answer = answer & (F.coalesce(bit, F.lit(0)) == 1)
+    return result.select(*df.columns, answer.alias("__may"))
 
 
-def all_pairs(own: np.ndarray, other: np.ndarray, _: list, __: list) -> tuple[np.ndarray, np.ndarray]:
-    """Every index of ``own`` with every index of ``other``."""
-    i, j = np.meshgrid(np.arange(len(own)), np.arange(len(other)), indexing="ij")
-    return i.ravel(), j.ravel()
+def thinned(df: DataFrame, column: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be in ``wanted``."""
+    return flagged(df, column, wanted, bits).where("__may").drop("__may")
 
 
 def linked_by_keys(
     keys: DataFrame,
     verified: Callable[[DataFrame], DataFrame],
+    near: Callable[[Column, Column], Column] | None = None,
     points: DataFrame | None = None,
-    pairing: Callable = all_pairs,
+    pairing: Callable | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
     """(id, component) over all true links between ids that share a key.
 
-    ``keys`` holds (key, id); ``verified`` keeps the true links among pairs (a, b).
+    ``keys`` holds (key, id) and may hold a ``point`` of each id; ``verified`` keeps the
+    true links among pairs (a, b).
 
     * Minimum, maximum and count per key are combined before the shuffle.  A key with
       two ids is one pair.  In a larger one every id first meets the smallest id.
@@ -147,9 +145,9 @@ def linked_by_keys(
       need no further look.  Members outside it meet a member of the first component
       drawn for each of their keys, a few times over.
     * Keys that still hold several components are finished exactly: members go to
-      chunks of bounded size, and chunk meets chunk.
-      ``pairing`` names the pairs of two chunks that can link at all; it sees the
-      ``point`` of each member where ``points`` (id, point) is given.
+      chunks of bounded size, and chunk meets chunk.  There, ``near`` is a condition on
+      both points that every link fulfils; or ``pairing`` names the pairs of two chunks
+      that can link at all, from the members' ``points`` (id, point).
     """
     summary = stored(
         keys.groupBy("key")
@@ -158,25 +156,31 @@ def linked_by_keys(
     )
     many = summary.where("n > 2").select("key", "b")
     members = stored(
-        keys.where(may_hold("key", many.select("key"))).join(many, "key").select("key", "id", "b").distinct()
+        thinned(keys, "key", many.select("key")).join(many, "key").select(*keys.columns, "b").distinct()
     )
     stars = summary.where("n = 2").select("a", "b").union(members.where("id <> b").select(F.col("id").alias("a"), "b"))
     tested = stored(stars.distinct())
-    links = checkpointed(verified(tested))
-    members = members.select("key", "id")
+    first = checkpointed(verified(tested))
+    members = members.select(*keys.columns)
 
     def placed_by(found: DataFrame) -> DataFrame:
         joined = members.join(found, "id", "left")
-        return checkpointed(joined.select("key", "id", F.coalesce("component", "id").alias("component")))
+        return stored(joined.select(*keys.columns, F.coalesce("component", "id").alias("component")))
 
-    found = checkpointed(components(links))
+    found = checkpointed(components(first))
     placed = placed_by(found)
+    if members.isEmpty():
+        return found
     for k in range(PIVOT_ROUNDS):
         drawn = F.struct("component", F.xxhash64("id", "key", F.lit(k)))
         pivots = checkpointed(
             placed.groupBy("key")
-            .agg(F.min_by(F.struct("id", "component"), drawn).alias("p"), F.max("component").alias("most"))
-            .where("p.component < most")
+            .agg(
+                F.min_by(F.struct("id", "component"), drawn).alias("p"),
+                F.count("*").alias("n"),
+                F.count_distinct("component").alias("parts"),
+            )
+            .where("parts > 1 AND parts < n")  # where nothing linked, a drawn member helps no more
             .select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("reached"))
         )
         pairs = placed.join(pivots, "key").where("component <> reached")
@@ -184,9 +188,11 @@ def linked_by_keys(
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        links = checkpointed(links.union(verified(pairs)))
         tested = tested.union(pairs)
-        found = checkpointed(components(links))
+        more = checkpointed(verified(pairs))
+        if more.isEmpty():
+            continue
+        found = checkpointed(components(_stars(found).union(more)))
         placed = placed_by(found)
     open_keys = checkpointed(
         placed.groupBy("key")
@@ -196,29 +202,42 @@ def linked_by_keys(
     )
     rest = placed.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    if points is not None:
-        rest = rest.join(points, "id")
     rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    if pairing is None:
+        point = [F.col("point")] if "point" in keys.columns else []
+        side = lambda own, n: rest.where(f"own = {own}").select(
+            "key", "low", "high", F.col("id").alias(n), F.col("component").alias(f"c{n}"), *(p.alias(f"p{n}") for p in point)
+        )
+        met = side("low", "a").join(side("high", "b"), ["key", "low", "high"]).where("ca <> cb AND (low < high OR a > b)")
+        if near is not None:
+            met = met.where(near(F.col("pa"), F.col("pb")))
+        met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    else:
+        met = _paired(rest.join(points, "id"), pairing)
+    met = stored(met.join(tested, ["a", "b"], "left_anti"))
+    if met.isEmpty():
+        return found
+    return components(_stars(found).union(verified(met)))
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    """Links (a, b) that give the components ``found`` again."""
+    return found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
 
-    pointed = points is not None
+def _paired(rest: DataFrame, pairing: Callable) -> DataFrame:
+    """Pairs (a, b) across components that ``pairing`` names, one task for two chunks."""
 
     def meet(group: pa.Table) -> pa.Table:
         ids, component, own = (group.column(c).to_numpy() for c in ("id", "component", "own"))
-        point = group.column("point").to_pylist() if pointed else None
-        high = group.column("high")[0].as_py()
-        same = group.column("low")[0].as_py() == high
+        point, high = group.column("point").to_pylist(), group.column("high")[0].as_py()
         one = np.flatnonzero(own == group.column("low")[0].as_py())
-        two = one if same else np.flatnonzero(own == high)
-        some = lambda at: [point[i] for i in at] if point else []
-        i, j = pairing(one, two, some(one), some(two))
+        two = np.flatnonzero(own == high)
+        i, j = pairing([point[k] for k in one], [point[k] for k in two])
         i, j = one[i], two[j]
         good = component[i] != component[j]
         a, b = ids[i[good]], ids[j[good]]
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    met = rest.groupBy("key", "low", "high").applyInArrow(meet, "a long, b long").distinct()
-    met = stored(met.join(tested, ["a", "b"], "left_anti"))
-    if met.isEmpty():
-        return found
-    return components(links.union(verified(met)))
+    return rest.groupBy("key", "low", "high").applyInArrow(meet, "a long, b long").distinct()

@@ -102,6 +102,8 @@ def similar(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
 def verified_forms(source: DataFrame, firsts: DataFrame, pairs: DataFrame, normal, good) -> DataFrame:
     """The pairs (a, b) of form ids whose normal forms are ``good``."""
     pairs = stored(pairs)
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     forms = stored(forms_of(source, stored(firsts.join(ids, "id").select("id", "first.row")), normal))
     side = lambda n: forms.select(F.col("id").alias(n), F.col("form").alias(f"form_{n}"))
@@ -133,14 +135,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     firsts = stored(grouped)
     simhash = firsts.select("id", "simhash")
-    keys = simhash.select(F.explode(block_keys(F.col("simhash"))).alias("key"), "id")
+    keys = simhash.select(F.explode(block_keys(F.col("simhash"))).alias("key"), "id", F.col("simhash").alias("point"))
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= BITS
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda n: simhash.select(F.col("id").alias(n), F.col("simhash").alias(f"s{n}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS)
-        return verified_forms(source, firsts, near.select("a", "b"), normal_line, similar)
+        close = pairs.join(side("a"), "a").join(side("b"), "b").where(near(F.col("sa"), F.col("sb")))
+        return verified_forms(source, firsts, close.select("a", "b"), normal_line, similar)
 
-    found = stored(linked_by_keys(keys, verified))
+    found = stored(linked_by_keys(keys, verified, near))
     gone = removals(occurrences.drop("extra"), classes_of(firsts.drop("simhash"), found))
     return without_passages(docs, gone, id_col, text_col)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import may_hold, row_key, stored, text_bytes
+from riskframe.llm.common import row_key, stored, text_bytes, thinned
 
 
 def hash64(data: bytes) -> int:
@@ -71,9 +71,9 @@ def forms_of(source: DataFrame, wanted: DataFrame, normal: Callable[[bytes], byt
                     [pa.array(rows, pa.int64()), pa.array(map(hash64, forms), pa.int64()), pa.array(forms, pa.binary())], ["row", "id", "form"]
                 )
 
-    near = source.where(may_hold("row", wanted.select("row").distinct())).select("row", "text")
+    near = thinned(source, "row", wanted.select("row")).select("row", "text")
     found = near.mapInArrow(cut, "row long, id long, form binary")
-    found = found.where(may_hold("id", wanted.select("id")))
+    found = thinned(found, "id", wanted.select("id"))
     return found.join(wanted, ["row", "id"]).groupBy("id").agg(F.first("form").alias("form"))
 
 
