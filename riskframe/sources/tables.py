@@ -161,7 +161,8 @@ class TokenMap:
             if not any(sign in str(error) for sign in DAMAGED_FILE):
                 raise
             location, files = _folder(spark, path)
-            aside, _ = _folder(spark, f"{path}-damaged-{datetime.now(timezone.utc):%Y%m%d-%H%M%S-%f}")
+            parent = path.rsplit("/", 1)[0]
+            aside, _ = _folder(spark, f"{parent}/damaged-{datetime.now(timezone.utc):%Y%m%d-%H%M%S-%f}")
             files.rename(location, aside)
             return spark.createDataFrame([], schemas.PII_MAP)
         return known

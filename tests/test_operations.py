@@ -305,7 +305,7 @@ def test_lookup_and_resolution(spark):
     assert rows == {"a": (True, "y"), "z": (False, None)}
 
 
-def test_many_modules_are_matched_by_join_with_the_same_result(spark, monkeypatch):
+def test_queries_are_attributed_to_the_modules_they_name(spark):
     modules = spark.createDataFrame(
         [("Pay", 50), ("Payment", 90), ("UI", 90), ("Zero", 0)], "module string, risk_score int"
     )
@@ -317,10 +317,10 @@ def test_many_modules_are_matched_by_join_with_the_same_result(spark, monkeypatc
         "query_id int, component string, rank int",
     )
     expected = {1: ("Payment", 90), 2: ("Pay", 50), 3: ("Gone", 0), 4: ("Gone", 0), 5: ("Pay", 50)}
-    for limit in (2000, 0):
-        monkeypatch.setattr(attribution, "MAX_MODULES", limit)
-        rows = attribution.attribute_queries(queries, modules, similar).collect()
-        assert {row.query_id: (row.module, row.risk_score) for row in rows} == expected
+    rows = attribution.attribute_queries(queries, modules, similar).collect()
+    assert {row.query_id: (row.module, row.risk_score) for row in rows} == expected
+    rows = attribution.attribute_queries(queries, modules.where("module = ''"), similar).collect()
+    assert {row.query_id: row.module for row in rows} == {1: "Unknown", 2: "Unknown", 3: "Gone", 4: "Gone", 5: "Unknown"}
 
 
 def test_history_and_reports_are_written(spark, tmp_path):

@@ -101,3 +101,28 @@ def test_strict_phone_leaves_plain_numbers(spark, text):
     assert tokens.mask_table(df, ["text"], phone="strict")[0].first().text == text
     call = spark.createDataFrame([("a", "call +90 212 555 1234")], "key string, text string")
     assert tokens.mask_table(call, ["text"], phone="strict")[0].first().text == "call [PHONE_001]"
+
+
+def test_a_damaged_token_map_is_set_aside_and_other_errors_are_raised(spark, tmp_path, monkeypatch):
+    store = TokenMap(spark, str(tmp_path / "map"))
+    entries = spark.createDataFrame([("a@x.org", "[EMAIL_1]", "EMAIL", 1)], "original string, token string, category string, seq long")
+    store.add(entries)
+    store.compact()
+    assert store.read().count() == 1
+    part = next((tmp_path / "map").glob("origin=live/version=*/part-*.parquet"))
+    for file in [part, *part.parent.glob(".*.crc")]:
+        file.write_bytes(b"junk") if file == part else file.unlink()
+    assert store.read().count() == 0
+    assert list((tmp_path / "map" / "origin=live").glob("*damaged*"))
+    store.add(entries)
+    assert store.read().count() == 1
+
+    def fails(self, *_):
+        raise OSError("storage is away")
+
+    monkeypatch.setattr("riskframe.sources.tables.VersionedTable.read", fails)
+    try:
+        store.read()
+    except OSError:
+        return
+    raise AssertionError("a passing error gave an empty map")
