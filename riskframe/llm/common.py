@@ -14,7 +14,7 @@ from riskframe.scale import checkpointed, ensure_checkpoint_dir
 #: Members of one key that meet in one task when links across components are sought.
 CHUNK = 1_000
 #: Times that members outside a key's first component meet a drawn member of it.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -104,21 +104,15 @@ def flagged(df: DataFrame, column: str, wanted: DataFrame, bits: int = FILTER_BI
     most ``bits / 64`` words, so it can be broadcast however much is looked for; with
     very many values it lets more through and stays correct.
     """
-    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(2)]
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     at_bit = lambda p: F.pmod(p, F.lit(64)).cast("int")
-    found = wanted.select(F.explode(F.array(*places(F.col(wanted.columns[0])))).alias("p"))
-    words = checkpointed(
-        found.groupBy(F.shiftright("p", 6).alias("word")).agg(
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at_bit(F.col("p")))).alias("bits")
-        )
+    found = wanted.select(place(F.col(wanted.columns[0])).alias("p"))
+    words = found.groupBy(F.shiftright("p", 6).alias("__word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at_bit(F.col("p")))).alias("__bits")
     )
-    result, answer = df, F.lit(True)
-    for k, place in enumerate(places(F.col(column))):
-        side = words.select(F.col("word").alias(f"__word{k}"), F.col("bits").alias(f"__bits{k}"))
-        result = result.join(F.broadcast(side), F.shiftright(place, 6) == F.col(f"__word{k}"), "left")
-        bit = F.call_function("shiftrightunsigned", F.col(f"__bits{k}"), at_bit(place)).bitwiseAND(F.lit(1))
-        answer = answer & (F.coalesce(bit, F.lit(0)) == 1)
-    return result.select(*df.columns, answer.alias("__may"))
+    result = df.join(F.broadcast(words), F.shiftright(place(F.col(column)), 6) == F.col("__word"), "left")
+    bit = F.call_function("shiftrightunsigned", F.col("__bits"), at_bit(place(F.col(column)))).bitwiseAND(F.lit(1))
+    return result.select(*df.columns, (F.coalesce(bit, F.lit(0)) == 1).alias("__may"))
 
 
 def thinned(df: DataFrame, column: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:

@@ -105,7 +105,7 @@ def verified_forms(source: DataFrame, firsts: DataFrame, pairs: DataFrame, norma
     if pairs.isEmpty():
         return pairs.select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    forms = stored(forms_of(source, stored(firsts.join(ids, "id").select("id", "first.row")), normal))
+    forms = stored(forms_of(source, firsts.join(ids, "id").select("id", "first.row"), normal))
     side = lambda n: forms.select(F.col("id").alias(n), F.col("form").alias(f"form_{n}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "form_a", "form_b")
 

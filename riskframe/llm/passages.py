@@ -61,20 +61,17 @@ def forms_of(source: DataFrame, wanted: DataFrame, normal: Callable[[bytes], byt
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for low in range(0, part.num_rows, 500):
-                rows, forms = [], []
-                for row, text in zip(part.column(0).slice(low, 500), part.column(1).slice(low, 500).to_pylist(), strict=True):
-                    for form in {f for line in text.split(b"\n") if (f := normal(line)) is not None}:
-                        rows.append(row.as_py())
-                        forms.append(form)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), pa.array(map(hash64, forms), pa.int64()), pa.array(forms, pa.binary())], ["row", "id", "form"]
-                )
-
-    near = thinned(source, "row", wanted.select("row")).select("row", "text")
-    found = near.mapInArrow(cut, "row long, id long, form binary")
-    found = thinned(found, "id", wanted.select("id"))
-    return found.join(wanted, ["row", "id"]).groupBy("id").agg(F.first("form").alias("form"))
+            found: dict[int, bytes] = {}
+            for text, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                sought = set(ids)
+                for line in text.split(b"\n"):
+                    if (form := normal(line)) is not None and (name := hash64(form)) in sought:
+                        found[name] = form
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["id", "form"])
+
+    per_row = stored(wanted.groupBy("row").agg(F.collect_list("id").alias("ids")))
+    near = thinned(source.select("row", "text"), "row", per_row.select("row")).join(per_row, "row").select("text", "ids")
+    return near.mapInArrow(cut, "id long, form binary").groupBy("id").agg(F.first("form").alias("form"))
 
 
 def removals(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
