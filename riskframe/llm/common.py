@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.scale import checkpointed, ensure_checkpoint_dir
+from riskframe.scale import ensure_checkpoint_dir
 
 #: Members of one key that meet in one task when links across components are sought.
 CHUNK = 1_000
@@ -20,8 +20,9 @@ PIVOT_ROUNDS = 2
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
-    Like a checkpoint it cuts the lineage and survives a lost executor, but the
-    files are compressed and columns are read one by one.
+    Like a checkpoint it cuts the lineage and survives a lost executor.  Columns are
+    read one by one, and the planner sees the size of the files: a checkpoint passes on
+    the estimated size of its plan, which is squared by every join of a loop.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -77,17 +78,17 @@ def components(links: DataFrame) -> DataFrame:
     are combined before the shuffle; they are stored before they are joined, so that
     Spark may split a node with very many links.
     """
-    edges = checkpointed(
+    edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     while _unsettled(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = checkpointed(large)
-        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = stored(large)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
@@ -154,20 +155,20 @@ def linked_by_keys(
     )
     stars = summary.where("n = 2").select("a", "b").union(members.where("id <> b").select(F.col("id").alias("a"), "b"))
     tested = stored(stars.distinct())
-    first = checkpointed(verified(tested))
+    first = stored(verified(tested))
     members = members.select(*keys.columns)
 
     def placed_by(found: DataFrame) -> DataFrame:
         joined = members.join(found, "id", "left")
         return stored(joined.select(*keys.columns, F.coalesce("component", "id").alias("component")))
 
-    found = checkpointed(components(first))
+    found = stored(components(first))
     placed = placed_by(found)
     if members.isEmpty():
         return found
     for k in range(PIVOT_ROUNDS):
         drawn = F.struct("component", F.xxhash64("id", "key", F.lit(k)))
-        pivots = checkpointed(
+        pivots = stored(
             placed.groupBy("key")
             .agg(
                 F.min_by(F.struct("id", "component"), drawn).alias("p"),
@@ -183,12 +184,12 @@ def linked_by_keys(
         if pairs.isEmpty():
             break
         tested = tested.union(pairs)
-        more = checkpointed(verified(pairs))
+        more = stored(verified(pairs))
         if more.isEmpty():
             continue
-        found = checkpointed(components(_stars(found).union(more)))
+        found = stored(components(_stars(found).union(more)))
         placed = placed_by(found)
-    open_keys = checkpointed(
+    open_keys = stored(
         placed.groupBy("key")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
         .where("least < most")

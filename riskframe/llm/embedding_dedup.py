@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import batches, checkpointed, components, stored
+from riskframe.llm.common import batches, components, stored
 
 COSINE = 0.93
 #: Share of the links that the walk has to find, measured on QUERIES vectors against all.
@@ -199,7 +199,7 @@ def embedding_links(
     visits = stored(classes.select("class", "label", "size", "vector").mapInArrow(visit, row))
     place = ["label", "width", "cell"]
     owner = F.col("cell") == F.col("own_cell")
-    counts = checkpointed(
+    counts = stored(
         visits.groupBy(*place).agg(
             F.ceil(F.count_if(owner) / BLOCK).cast("long").alias("owners"), F.ceil(F.count("*") / BLOCK).cast("long").alias("visitors")
         ).where("owners > 0")
