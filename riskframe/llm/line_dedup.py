@@ -1,27 +1,28 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one line per group."""
+"""Fuzzy line dedup: MinHash bands over byte grams, edit similarity, one line per group."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.llm.common import linked_by_keys, stored
+from riskframe.llm.common import linked_by_keys, mixed, stored
 from riskframe.llm.passages import classes_of, forms_of, passages, removals, with_key, without_passages
 from riskframe.llm.shingles import word_hashes
 
 #: Lines with fewer words stay: short lines repeat by chance.
 LEAST_WORDS = 5
-#: Bits in which the SimHashes of a link may differ.
-BITS = 3
 #: Links need 1 - distance / longer length of at least this.
 SIMILARITY = 0.9
-#: Five blocks of 64 bits; of five, at most three differ, so some two are equal.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Candidates share the least hashes, four at a time, of their five-byte grams.
+GRAM, ROWS, BANDS, HASHES = 5, 4, 64, 64
+#: Of the HASHES least hashes, kept with four bits each, so many have to be equal.
+LEAST_EQUAL = 16
+#: Bytes of normal forms that are hashed at once.
+STEP = 1 << 20
 
 _DIGITS = re.compile(rb"[0-9]+")
 _MARKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyz" + b" " * 32)
@@ -48,19 +49,67 @@ def simhashes(forms: list[bytes]) -> np.ndarray:
     return np.packbits(most, axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def _simhash_column(forms: list[bytes]) -> pa.Array:
-    found = simhashes(forms)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32)), pa.array(found, pa.int64()))
-
-
-def block_keys(simhash: Column) -> Column:
-    """One key for each choice of two blocks; the choice is part of the key."""
-    block = lambda b: F.call_function("shiftrightunsigned", simhash, F.lit(b[0])).bitwiseAND(F.lit((1 << b[1]) - 1))
-    keys = [
-        F.shiftleft(block(one), 13) + block(two) + F.lit(k << 32)
-        for k, (one, two) in enumerate(combinations(BLOCKS, 2))
-    ]
-    return F.array(*keys)
+_SALTS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+_CHOICES = np.stack([np.random.default_rng(k).choice(HASHES, ROWS, replace=False) for k in range(BANDS)])
+_LONGS = HASHES // 16
+
+
+def least_hashes(forms: list[bytes]) -> np.ndarray:
+    """HASHES least hashes of the grams of each form."""
+    result, low = np.empty((len(forms), HASHES), np.uint64), 0
+    ends = np.cumsum(list(map(len, forms)))
+    while low < len(forms):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + STEP, "right")))
+        raw = np.frombuffer(b"".join(forms[low:high]) + b"\0" * GRAM, np.uint8).astype(np.uint64)
+        lengths = np.diff(ends[low:high], prepend=before)
+        counts = np.maximum(lengths - GRAM + 1, 1)
+        starts = np.cumsum(counts) - counts
+        at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - starts, counts)
+        grams = np.zeros(len(at), np.uint64)
+        for j in range(GRAM):
+            grams |= raw[at + j] << np.uint64(8 * j)
+        grams = mixed(grams)
+        with np.errstate(over="ignore"):
+            for k, salt in enumerate(_SALTS):
+                result[low:high, k] = np.minimum.reduceat(grams * salt, starts)
+        low = high
+    return result
+
+
+def line_keys(forms: list[bytes]) -> np.ndarray:
+    """Of each form its characters, _LONGS numbers of 16 short hashes each, and a key a band."""
+    least = mixed(least_hashes(forms))
+    found = np.zeros((len(forms), 1 + _LONGS + BANDS), np.uint64)
+    found[:, 0] = [len(f.decode("utf-8", "replace")) for f in forms]
+    short = (least & np.uint64(15)).reshape(-1, _LONGS, 16)
+    found[:, 1 : 1 + _LONGS] = np.bitwise_or.reduce(short << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
+    with np.errstate(over="ignore"):
+        for k, choice in enumerate(_CHOICES):
+            found[:, 1 + _LONGS + k] = mixed((least[:, choice] * _SALTS[:ROWS]).sum(axis=1) + np.uint64(k))
+    return found.view(np.int64)
+
+
+def _key_column(forms: list[bytes]) -> pa.Array:
+    found = line_keys(forms)
+    ends = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel(), pa.int64()))
+
+
+def near_lengths(a: Column, b: Column) -> Column:
+    """Whether the lengths alone allow the similarity."""
+    return F.greatest(a, b) - F.least(a, b) <= F.lit(1 - SIMILARITY) * F.greatest(a, b) + F.lit(1e-9)
+
+
+def near_sketches(a: Column, b: Column) -> Column:
+    """Whether LEAST_EQUAL of the short hashes are equal."""
+    unlike = F.lit(0)
+    for k in range(_LONGS):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(2)))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(1)))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return unlike <= HASHES - LEAST_EQUAL
 
 
 def edit_distance(a: bytes | str, b: bytes | str) -> int:
@@ -96,7 +145,12 @@ def similar(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
     one, two = a.decode("utf-8", "replace"), b.decode("utf-8", "replace")
     longer = max(len(one), len(two))
     allowed = (1 - similarity) * longer + 1e-9
-    return abs(len(one) - len(two)) <= allowed and edit_distance(one, two) <= allowed
+    if abs(len(one) - len(two)) > allowed:
+        return False
+    grams = {one[k : k + 4] for k in range(len(one) - 3)}  # an edit changes at most four of them
+    if sum(two[k : k + 4] not in grams for k in range(len(two) - 3)) > 4 * allowed:
+        return False
+    return edit_distance(one, two) <= allowed
 
 
 def verified_forms(source: DataFrame, firsts: DataFrame, pairs: DataFrame, normal, good) -> DataFrame:
@@ -121,30 +175,29 @@ def verified_forms(source: DataFrame, firsts: DataFrame, pairs: DataFrame, norma
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its text without repeated lines.
 
-    Lines are normalised; equal ones are one form.  Forms link when their SimHashes
-    differ in at most three bits and their edit similarity is 0.9 or more.  In each
+    Lines are normalised; equal ones are one form.  Forms link when their edit
+    similarity is 0.9 or more; MinHash bands over five-byte grams name the pairs.  In each
     connected group the occurrence with the smallest (id, place) stays; a null id
     comes first.  Rows that are equal in id and text count as one document.  Lines of
     under five words always stay.  Adds ``__lines`` and ``__removed``; null and empty
     texts pass unchanged.
     """
     source = with_key(docs, id_col, text_col)
-    occurrences = stored(passages(source, normal_line, _simhash_column))
+    occurrences = stored(passages(source, normal_line, _key_column))
     grouped = occurrences.groupBy("id").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first"), F.min(F.get("extra", F.lit(0))).alias("simhash")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first"), F.first("extra").alias("extra")
     )
     firsts = stored(grouped)
-    simhash = firsts.select("id", "simhash")
-    keys = simhash.select(F.explode(block_keys(F.col("simhash"))).alias("key"), "id", F.col("simhash").alias("point"))
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= BITS
+    length = F.get("extra", F.lit(0))
+    keys = firsts.select(F.explode(F.slice("extra", 2 + _LONGS, BANDS)).alias("key"), "id", length.alias("point"))
+    sketches = firsts.select("id", length.alias("l"), F.slice("extra", 2, _LONGS).alias("s"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda n: simhash.select(F.col("id").alias(n), F.col("simhash").alias(f"s{n}"))
-        close = pairs.join(side("a"), "a").join(side("b"), "b").where(near(F.col("sa"), F.col("sb")))
+        side = lambda n: sketches.select(F.col("id").alias(n), F.col("l").alias(f"l{n}"), F.col("s").alias(f"s{n}"))
+        close = pairs.join(side("a"), "a").join(side("b"), "b")
+        close = close.where(near_lengths(F.col("la"), F.col("lb")) & near_sketches(F.col("sa"), F.col("sb")))
         return verified_forms(source, firsts, close.select("a", "b"), normal_line, similar)
 
-    found = stored(linked_by_keys(keys, verified, near))
-    gone = removals(occurrences.drop("extra"), classes_of(firsts.drop("simhash"), found))
+    found = stored(linked_by_keys(keys, verified, near_lengths))
+    gone = removals(occurrences.drop("extra"), classes_of(firsts.drop("extra"), found))
     return without_passages(docs, gone, id_col, text_col)
-
-

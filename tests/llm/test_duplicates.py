@@ -153,6 +153,40 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def similar_lines(forms):
+    return [(a, b) for a in range(len(forms)) for b in range(a) if line_dedup.similar(forms[a], forms[b])]
+
+
+def test_line_dedup_needs_edit_similarity_only(spark):
+    check_cut(line_dedup.dedup_lines(documents(spark)), line_dedup.normal_line, similar_lines)
+
+
+@pytest.mark.parametrize("words", [5, 8, 12, 20, 40, 80])
+@pytest.mark.parametrize("kind", ["word", "letters"])
+def test_line_recall_by_length(words, kind):
+    rng = random.Random(words)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(letter() for _ in range(rng.randint(1, 9)))
+    lines = []
+    for _ in range(150):
+        line = [word() for _ in range(words)]
+        other = list(line)
+        if kind == "word":
+            other[rng.randrange(words)] = word()
+        else:  # a letter in every fourteen, anywhere
+            flat = list(" ".join(line))
+            for k in rng.sample([k for k, c in enumerate(flat) if c != " "], max(1, len(flat) // 14)):
+                flat[k] = letter()
+            other = "".join(flat).split()
+        lines += [" ".join(line), " ".join(other)]
+    forms = [x.encode() for x in dict.fromkeys(lines)]
+    links = similar_lines(forms)
+    keys = line_dedup.line_keys(forms)[:, 1:].view(np.uint64)
+    sketches = keys[:, :4, None] >> np.arange(0, 64, 4, dtype=np.uint64) & np.uint64(15)
+    near = lambda a, b: (keys[a, 4:] == keys[b, 4:]).any() and (sketches[a] == sketches[b]).sum() >= line_dedup.LEAST_EQUAL
+    assert len(links) > 10 and sum(near(a, b) for a, b in links) >= 0.9 * len(links)
+
+
 def test_paragraph_dedup(spark):
     links = lambda forms: jaccard_links([shingles(f.decode(), 5) for f in forms], 80)
     check_cut(paragraph_dedup.dedup_paragraphs(documents(spark)), paragraph_dedup.normal_paragraph, links)
