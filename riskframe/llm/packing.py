@@ -3,8 +3,9 @@
 Documents are tokenised, cut into pieces and packed into sequences.  Pieces are dealt
 into groups of bounded size; each group is packed best-fit and then searched: pieces
 move, change places one for one or two for one between underfull bins as long as the
-sum of squared fills rises, which empties bins.  What stays underfull in any group
-meets again in fewer groups, level by level.
+sum of squared fills rises, which empties bins.  Every bin that keeps more than a small
+room is dealt to a new group and searched again, level by level, until that saves next
+to nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ CAPACITY = 1024
 END = 2
 #: Pieces that one task packs.
 GROUP_PIECES = 20_000
+#: Bins with more room than this meet those of other groups.
+LEFT_ROOM = 8
+#: Levels end when less than this share of the bins on their way was saved.
+LEAST_SAVED = 0.001
 #: Texts are cut where white space follows another character; no token spans such a place.
 UNIT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 #: Texts without these are cut faster: before every space and line end.
@@ -168,52 +173,63 @@ def _gain(fill_from: int, fill_to: int, shift: int) -> int:
     return 2 * shift * (fill_to - fill_from + shift)
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, pool: int = 64) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty underfull bins by moves, one-for-one and two-for-one exchanges.
 
-    The ``pool`` emptiest underfull bins are searched at a time.  A step is taken only
-    if it raises the sum of squared fills, so the search ends; empty bins go.
+    Every underfull bin, the emptiest first, gives to whichever underfull bin gains
+    most, until no exchange of any bin gains.  A step is taken only if it raises the
+    sum of squared fills, so the search ends; empty bins go.
     """
-    size = lengths.tolist()
-    order = sorted(range(len(bins)), key=lambda b: sum(size[i] for i in bins[b]))
-    open_bins = [b for b in order if sum(size[i] for i in bins[b]) < capacity][:pool]
-    fill = {b: sum(size[i] for i in bins[b]) for b in open_bins}
-
-    def step(a: int, b: int) -> bool:
-        """The best exchange that takes length from ``a`` to ``b``."""
-        room, best = capacity - fill[b], (0, None)
-        theirs = sorted((size[j], j) for j in bins[b])
-        ours = sorted((size[i], i) for i in bins[a])
-        outs = [(s, (i,)) for s, i in ours]
-        outs += [(s + t, (i, j)) for k, (s, i) in enumerate(ours) for t, j in ours[k + 1 :]]
-        for out, items in outs:
-            if out <= room:
-                shift, back = out, ()
-            else:  # give back the smallest piece that makes the exchange fit
-                k = bisect_left(theirs, (out - room,))
-                if k == len(theirs):
-                    continue
-                shift, back = out - theirs[k][0], (theirs[k][1],)
-            if len(items) == 2 and not back:
-                continue  # two single moves do the same
-            if shift > 0 and (gain := _gain(fill[a], fill[b], shift)) > best[0]:
-                best = (gain, (items, back, shift))
+    bins = [list(b) for b in bins]
+    fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
+    open_bins = np.flatnonzero(fill < capacity)
+    if len(open_bins) < 2:
+        return [b for b in bins if b]
+    # What a bin can give back: one of its pieces, or nothing.
+    names = np.array([i for b in open_bins for i in bins[b]], np.int64)
+    place = {int(i): k for k, i in enumerate(names)}
+    home = np.concatenate([np.repeat(open_bins, [len(bins[b]) for b in open_bins]), open_bins])
+    backs = np.concatenate([lengths[names].astype(np.int64), np.zeros(len(open_bins), np.int64)])
+    room, filled = capacity - fill[home], fill[home]
+    rows = {int(b): [*(place[i] for i in bins[b]), len(names) + k] for k, b in enumerate(open_bins)}
+
+    def step(a: int) -> bool:
+        """The best exchange that takes length out of ``a``."""
+        ours = sorted({int(lengths[i]): i for i in bins[a]}.items())
+        outs = {s: (i,) for s, i in ours}
+        many = sorted((int(lengths[i]), i) for i in bins[a])
+        for k, (s, i) in enumerate(many):
+            for t, j in many[k + 1 :]:
+                outs.setdefault(s + t, (i, j))
+        best = (0, None)
+        mine, has = int(fill[a]), (filled > 0) & (home != a)
+        for out, items in outs.items():
+            shift = out - backs
+            at = np.flatnonzero((shift > 0) & (shift <= room) & has)
+            if len(at):
+                gain = _gain(mine, filled[at], shift[at])
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (int(gain[k]), (items, int(at[k]), out - int(backs[at[k]])))
         if best[1] is None:
             return False
-        items, back, shift = best[1]
-        bins[a] = [i for i in bins[a] if i not in items] + list(back)
+        items, k, shift = best[1]
+        b, back = int(home[k]), [] if k >= len(names) else [int(names[k])]
+        bins[a] = [i for i in bins[a] if i not in items] + back
         bins[b] = [j for j in bins[b] if j not in back] + list(items)
         fill[a] -= shift
         fill[b] += shift
+        for x in (a, b):
+            rows[x] = [place[i] for i in bins[x]] + rows[x][-1:]
+            home[rows[x]], room[rows[x]], filled[rows[x]] = x, capacity - fill[x], fill[x]
         return True
 
     moved = True
     while moved:
         moved = False
-        for a in sorted(open_bins, key=fill.__getitem__):
-            for b in sorted(open_bins, key=fill.__getitem__, reverse=True):
-                if a != b and bins[a] and bins[b] and fill[b] < capacity:
-                    moved |= step(a, b)
+        for a in open_bins[np.argsort(fill[open_bins], kind="stable")].tolist():
+            while 0 < fill[a] < capacity and step(a):
+                moved = True
     return [b for b in bins if b]
 
 
@@ -232,26 +248,31 @@ def packed(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
     columns = found.columns
     rows = stored(found).withColumn("__row", F.monotonically_increasing_id())
     rows = stored(rows)
-    open_pieces, done, level = rows.select("__row", "length"), None, 0
+    open_pieces, done, level, before = rows.select("__row", "length", F.col("__row").alias("bin")), None, 0, None
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
-        bins = pack_group(lengths, capacity)
-        fills = [int(lengths[b].sum()) for b in bins]
+        if key[2].as_py() == 0:
+            bins = pack_group(lengths, capacity)
+        else:  # whole bins of the last level
+            _, which = np.unique(group.column("bin").to_numpy(), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            old = np.split(order, np.flatnonzero(np.diff(which[order])) + 1)
+            bins = local_search([x.tolist() for x in old], lengths, capacity)
         last = key[1].as_py() == 1
-        # The emptiest bins go on to the next level, unless this was the only group.
-        again = set() if last else set(np.argsort(fills, kind="stable")[: max(1, len(bins) // 100)].tolist())
-        out = [(i, k, int(k in again)) for k, b in enumerate(bins) for i in b]
-        index = np.array([o[0] for o in out], np.int64)
+        # What is underfull goes on to the next level, unless this was the only group.
+        again = [not last and int(lengths[b].sum()) < capacity - LEFT_ROOM for b in bins]
+        out = [(i, k) for k, b in enumerate(bins) for i in b]
+        index, at = (np.array([o[n] for o in out], np.int64) for n in (0, 1))
         starts = np.concatenate([np.cumsum(lengths[b]) - lengths[b] for b in bins]) if bins else np.zeros(0, np.int64)
-        sequence = (key[2].as_py() << 52) + (key[0].as_py() << 16) + np.array([o[1] for o in out], np.int64)
+        sequence = (key[2].as_py() << 52) + (key[0].as_py() << 16) + at
         return pa.table(
             {
                 "__row": group.column("__row").take(pa.array(index)),
                 "length": pa.array(lengths[index]),
                 "sequence_id": pa.array(sequence),
                 "offset": pa.array(starts),
-                "again": pa.array([bool(o[2]) for o in out]),
+                "again": pa.array([again[k] for k in at.tolist()], pa.bool_()),
             }
         )
 
@@ -260,15 +281,19 @@ def packed(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
         count = open_pieces.count()
         groups = max(1, -(-count // group_pieces))
         dealt = open_pieces.select(
-            "__row", "length", F.pmod(F.xxhash64("__row"), F.lit(groups)).alias("group"),
+            "__row", "length", "bin", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).alias("group"),
             F.lit(groups).cast("long").alias("groups"), F.lit(level).cast("long").alias("level"),
         )
         placed = stored(dealt.groupBy("group", "groups", "level").applyInArrow(pack, schema))
-        kept = placed.where("not again").select("__row", "sequence_id", "offset")
+        # Each sequence has one piece at its start.
+        now, open_now = placed.where("offset = 0").agg(F.count("*"), F.count_if("again")).first()
+        saved = before is None or before - now > LEAST_SAVED * before
+        kept = (placed.where("not again") if saved else placed).select("__row", "sequence_id", "offset")
         done = kept if done is None else done.union(kept)
-        if groups == 1:
+        if groups == 1 or not saved or not open_now:
             break
-        open_pieces, level = placed.where("again").select("__row", "length"), level + 1
+        open_pieces = placed.where("again").select("__row", "length", F.col("sequence_id").alias("bin"))
+        level, before = level + 1, open_now
     return rows.join(done, "__row").select(*columns, "sequence_id", "offset")
 
 

@@ -62,6 +62,27 @@ def test_local_search_empties_bins():
     assert len(bins) == 4
 
 
+def test_local_search_reaches_every_underfull_bin():
+    for low, high in ((256, 426), (180, 330)):
+        lengths = np.random.default_rng(1).integers(low, high + 1, 2_000)
+        start = packing.best_fit(lengths, 1024)
+        bins = packing.local_search(start, lengths, 1024)
+        assert sorted(i for b in bins for i in b) == list(range(2_000))
+        assert max(lengths[b].sum() for b in bins) <= 1024
+        least = -(-lengths.sum() // 1024)
+        assert len(bins) - least <= (len(start) - least) / 2
+
+
+def test_underfull_bins_of_groups_meet_again(spark):
+    rows = spark.range(1_500).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "256 + id * 37 % 171 AS length", "0L AS ids_crc32")
+    fill, count = Counter(), 0
+    for r in packing.packed(rows, group_pieces=150).collect():
+        fill[r.sequence_id] += r.length
+        count += 1
+    assert count == 1_500 and max(fill.values()) <= 1024
+    assert len(fill) <= 1.06 * sum(fill.values()) / 1024
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
