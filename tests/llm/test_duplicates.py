@@ -110,6 +110,16 @@ def test_tree_join_keeps_all_pairs_within_bound():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(good)), strict=True))
 
 
+def test_pipeline_joins_at_five_words_and_four_fifths(spark):
+    words = [f"w{k}" for k in range(100)]
+    block = words[:82] + [f"x{k}" for k in range(6)] + words[88:]  # 86 of 106 shingles of five words
+    less = words[:70] + [f"y{k}" for k in range(20)] + words[90:]
+    docs = documents(spark, [(k, " ".join(x)) for k, x in enumerate((words, block, less))]).select(*corpus_pipeline.COLUMNS)
+    assert jaccard_links([shingles(" ".join(x), 5) for x in (words, block, less)], 80) == [(1, 0)]
+    assert not jaccard_links([shingles(" ".join(x), 4) for x in (words, block)], 85)
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()) == [0, 2]
+
+
 def cut_by_brute_force(normal, links_of):
     """Expected (doc_id, text, removed) of a line or paragraph dedup."""
     rows = texts()
