@@ -25,6 +25,10 @@ RECALL = 0.9995
 #: Vectors the codebooks are fitted on, and vectors that measure the walk; chosen by hash.
 FIT_ROWS = 20_000
 QUERIES = 512
+#: With fewer links in sight the walk goes at least as far as the triangle bound, with
+#: this quantile of the distances to own centroids of so many vectors.
+ENOUGH_LINKS = 1_000
+ERROR_QUANTILE, ERROR_ROWS = 0.999, 4_096
 #: Members of a cell that meet in one task, on either side.
 BLOCK = 1_000
 _BINS = 2_000  # of half-distance sums, which lie in 0..8
@@ -172,12 +176,14 @@ def embedding_links(
 
     steps = classes.select("class", "label", "vector").mapInArrow(batches(reaches), "bin long, n long")
     steps = steps.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # at most _BINS rows
+    seen, reach = sum(s.n for s in steps), 0.0
     if steps:
-        share = np.cumsum([s.n for s in steps]) / sum(s.n for s in steps)
+        share = np.cumsum([s.n for s in steps]) / seen
         reach = (steps[int(np.argmax(share >= recall))].bin + 1) * 8 / _BINS
-    else:  # no link in sight: a link's length and the usual way to a centroid
-        d1, d2 = books.distances(query_units)
-        reach = float((np.sqrt(2 - 2 * cosine) + np.sqrt(np.median(d1.min(1) + d2.min(1)))) ** 2)
+    if seen < ENOUGH_LINKS:  # too few to measure by: a link's length and the way to the other's centroid
+        d1, d2 = books.distances(units[:ERROR_ROWS])
+        error = np.quantile(d1.min(1) + d2.min(1), ERROR_QUANTILE, method="higher")
+        reach = max(reach, float((np.sqrt(2 - 2 * cosine) + np.sqrt(error)) ** 2))
     walk = spark.sparkContext.broadcast(Codebooks(books.first, books.second, reach))  # at most 2 x 1,024 centroids
 
     label_type = classes.schema["label"].dataType.simpleString()

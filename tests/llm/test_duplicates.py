@@ -304,6 +304,21 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(table.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_links_where_the_sampled_ones_are_short(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 4)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one = unit(rng.standard_normal((500, 24)))
+    far = np.where(np.arange(500) < 30, 0.36, 0.0001)[:, None]  # few links are long
+    rows = np.concatenate([one, unit(one + far * unit(rng.standard_normal((500, 24))))])
+    links = (rows @ rows.T >= 0.93).sum(axis=1) - 1
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(table).collect()}
+    long_ones = [*range(30), *range(500, 530)]
+    assert sum(links[long_ones]) > 30 and sum(found[k] for k in long_ones) >= 0.9 * sum(links[long_ones])
+    assert all(found[k] <= links[k] for k in found)
+
+
 URLS = [
     "http://a.example.org/es/1", "https://EXAMPLE.org/en/12?q=/es/", "http://example.org/en/2", "http://x.com/fr/", "http://x.com/de/#a",
     "http://y.net/fr/", "http://ads.y.net", "http://com/de/x", "http://m.spam-farm.example.com/en/1", "nothing", "", None, "://", "http://Ä.net/a://b/c",
