@@ -41,6 +41,18 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have yet, one for each of ``names``."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     """A mapInArrow function from one that maps a single batch."""
 
