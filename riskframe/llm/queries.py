@@ -163,6 +163,62 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP13_SQL = r"""
+WITH RECURSIVE sized AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(sha256('13:=' || doc_id || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place
+  FROM documents),
+sources AS MATERIALIZED (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+  FROM sized GROUP BY source),
+levels(round, level, n) AS (
+  SELECT 0, (SELECT sum(source_size)::DOUBLE / sum(weight) FROM sources), 0::BIGINT
+  UNION ALL
+  SELECT * FROM (
+    SELECT round + 1,
+           ((SELECT sum(source_size) FROM sources)::DOUBLE
+             - sum(CASE WHEN 3.0 * source_size <= level * weight THEN 3.0 * source_size ELSE 0 END)::DOUBLE)
+           / sum(CASE WHEN 3.0 * source_size <= level * weight THEN 0 ELSE weight END)::DOUBLE,
+           count(*) FILTER (WHERE 3.0 * source_size <= level * weight) AS clamped
+    FROM levels, sources GROUP BY round, level, n
+    HAVING count(*) FILTER (WHERE 3.0 * source_size <= level * weight) > n
+       AND sum(CASE WHEN 3.0 * source_size <= level * weight THEN 0 ELSE weight END) > 0)),
+targets AS MATERIALIZED (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * (SELECT arg_max(level, round) FROM levels)) AS target
+  FROM sources),
+parts AS MATERIALIZED (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
+entries AS MATERIALIZED (
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY place, doc_id) AS k
+  FROM sized WHERE size > 0),
+scan(source, k, doc_id, size, room, misfit, fits) AS (
+  SELECT source, 0::BIGINT, NULL::BIGINT, 0::BIGINT, target - whole * source_size, NULL::BIGINT, false FROM parts
+  UNION ALL
+  SELECT e.source, e.k, e.doc_id, e.size, CASE WHEN e.size <= s.room THEN s.room - e.size ELSE s.room END,
+         CASE WHEN e.size > s.room THEN coalesce(s.misfit, e.k) ELSE s.misfit END, e.size <= s.room
+  FROM scan s JOIN entries e ON e.source IS NOT DISTINCT FROM s.source AND e.k = s.k + 1
+  WHERE s.misfit IS NULL OR e.k <= s.misfit + 500),
+ends AS (
+  SELECT source, min(room) AS room, max(misfit) AS misfit,
+         max(CASE WHEN k = misfit THEN size - room END) AS excess FROM scan GROUP BY source),
+chosen AS (
+  SELECT scan.doc_id FROM scan JOIN ends ON scan.source IS NOT DISTINCT FROM ends.source
+  WHERE k > 0 AND CASE WHEN excess < ends.room THEN k <= ends.misfit ELSE fits END)
+SELECT sized.doc_id, sized.size, parts.source_size, parts.target,
+       sized.size * (parts.whole + CASE WHEN chosen.doc_id IS NULL THEN 0 ELSE 1 END) AS taken
+FROM sized JOIN parts ON sized.source IS NOT DISTINCT FROM parts.source LEFT JOIN chosen USING (doc_id)
+"""
+
+
+@query("op13_source_mixing", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm.mixing import mixture
+
+    found = mixture(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
