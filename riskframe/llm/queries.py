@@ -31,6 +31,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"), with_kept=False)
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm.sentencepiece_sampling import encode_documents
