@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -32,10 +33,12 @@ from riskframe.llm.common import stored
 #: Frequent pairs that every task holds; at most 17 bytes each.
 HELD_PAIRS = 1 << 18
 #: Units, and characters in them, whose alignment a worker keeps.
-KEPT_UNITS = 300_000
-KEPT_CHARS = 20_000_000
-#: Characters of the texts that are put together at once; a longer text comes alone.
-BATCH_CHARS = 2_000_000
+KEPT_UNITS = 200_000
+KEPT_CHARS = 10_000_000
+#: Bytes of the texts that are put together at once, and pairs that are looked up at once;
+#: a text with more comes alone.
+BATCH_BYTES = 300_000
+BATCH_PAIRS = 500_000
 #: New units that the first tokenizer encodes in one call.
 FRESH_UNITS = 4_000
 #: Groups with more links than this are folded to distinct pairs one by one.
@@ -279,16 +282,16 @@ def _lists(lengths: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about BATCH_CHARS characters."""
-    low, chars = 0, 0
-    for k, text in enumerate(texts):
-        if chars and chars + len(text) > BATCH_CHARS:
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``."""
+    low, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if total and total + size > most:
             yield low, k
-            low, chars = k, 0
-        chars += len(text)
-    if low < len(texts):
-        yield low, len(texts)
+            low, total = k, 0
+        total += size
+    if low < len(sizes):
+        yield low, len(sizes)
 
 
 def digest(text: Column) -> Column:
@@ -302,9 +305,9 @@ def aligned_texts(docs: DataFrame, text_col: str, path_a: str, path_b: str) -> D
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for part in parts:
-            texts, copies = part.column(0).to_pylist(), part.column(1)
-            for low, high in _slices(texts):
-                mine = texts[low:high]
+            texts, copies = part.column(0), part.column(1)
+            for low, high in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), BATCH_BYTES):
+                mine = texts.slice(low, high - low).to_pylist()
                 counts, groups, lengths, pairs, times = both.align(mine)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -351,31 +354,35 @@ def _scored(aligned: DataFrame, counts: DataFrame, held: int) -> DataFrame:
     shared = aligned.sparkSession.sparkContext.broadcast((pair[order], docs.astype(np.int64), best.astype(np.int64)))
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, docs, best = shared.value
         for part in parts:
-            pairs = part.column("pairs")
-            lengths = np.diff(pairs.offsets.to_numpy())
-            found, times = pairs.flatten().to_numpy(), part.column("times").flatten().to_numpy().astype(np.int64)
-            text_of = np.repeat(np.arange(len(lengths)), lengths)
-            at = np.minimum(np.searchsorted(pair, found), max(0, len(pair) - 1))
-            here = pair[at] == found if len(pair) else np.zeros(len(found), bool)
-            sums = [np.zeros(len(lengths), np.int64) for _ in range(2)]
-            if here.any():
-                heads = np.flatnonzero(np.append(True, text_of[here][1:] != text_of[here][:-1]))
-                for total, column in zip(sums, (best, docs), strict=True):
-                    total[text_of[here][heads]] = np.add.reduceat(times[here] * column[at[here]], heads)
-            rest = np.bincount(text_of[~here], minlength=len(lengths))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(c) for c in ("digest", *MEASURES[:4], "groups_sha256")), *(pa.array(s) for s in sums),
-                    _lists(rest, found[~here], pa.int64()), _lists(rest, times[~here], pa.int32()),
-                ],
-                names=["digest", *MEASURES[:4], "groups_sha256", "n_best", "count_sum", "rest", "rest_times"],
-            )
+            lengths = pc.list_value_length(part.column("pairs")).to_numpy(zero_copy_only=False)
+            for low, high in _slices(lengths, BATCH_PAIRS):
+                yield _summed(part.slice(low, high - low), *shared.value)
 
     return aligned.mapInArrow(score, _SCORED)
 
 
+def _summed(part: pa.RecordBatch, pair: np.ndarray, docs: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    lengths = pc.list_value_length(part.column("pairs")).to_numpy(zero_copy_only=False)
+    found, times = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("pairs", "times"))
+    text_of = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.minimum(np.searchsorted(pair, found), max(0, len(pair) - 1))
+    here = pair[at] == found if len(pair) else np.zeros(len(found), bool)
+    sums = [np.zeros(len(lengths), np.int64) for _ in range(2)]
+    if here.any():
+        heads = np.flatnonzero(np.append(True, text_of[here][1:] != text_of[here][:-1]))
+        for total, column in zip(sums, (best, docs), strict=True):
+            total[text_of[here][heads]] = np.add.reduceat(times[here] * column[at[here]], heads)
+    rest = np.bincount(text_of[~here], minlength=len(lengths))
+    return pa.RecordBatch.from_arrays(
+        [
+            *(part.column(c) for c in ("digest", *MEASURES[:4], "groups_sha256")), *(pa.array(s) for s in sums),
+            _lists(rest, found[~here], pa.int64()), _lists(rest, times[~here], pa.int32()),
+        ],
+        names=["digest", *MEASURES[:4], "groups_sha256", "n_best", "count_sum", "rest", "rest_times"],
+    )
+
+
 def align_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
