@@ -84,43 +84,53 @@ def water_filled(sources: DataFrame, epochs: float = EPOCHS, total: float | None
     return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def _ends(entries: DataFrame, sources: DataFrame, bucket: int) -> DataFrame:
-    """``sources`` with ``low`` and ``before``: their end is among the ``bucket`` documents from ``low`` on.
+def _ends(entries: DataFrame, sources: DataFrame, bucket: int, fill: int) -> DataFrame:
+    """``sources`` with ``low``, ``before`` and ``top``: where the partial repetition ends.
 
-    Documents below ``low`` hold ``before`` words and are all taken.
+    Documents below ``low`` hold ``before`` words and are all taken.  The end is among
+    the ``bucket`` documents from ``low`` on; below ``top`` are that many and ``fill`` more.
     """
-    counts = entries.groupBy("source").agg(F.count("*").alias("n"))
-    ends = stored(
-        sources.join(counts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left")
-        .select(*sources.columns, F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before"), "n")
-    )
+    source = F.col("source").eqNullSafe(F.col("__s"))
+    counts = entries.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("n"))
+    whole = {"low": F.lit(0), "before": F.lit(0), "top": F.lit(1 << PLACE_BITS)}
+    ends = sources.join(counts, source, "left").drop("__s").withColumns({k: v.cast("long") for k, v in whole.items()})
+    ends = stored(ends)
     for bits in range(PLACE_BITS - STEP_BITS, -1, -STEP_BITS):
         wide = ends.where(F.col("n") > bucket)
         if wide.isEmpty():
             break
         asked = wide.select(F.col("source").alias("__s"), "low", "before", "rest")
-        inside = entries.join(asked, F.col("source").eqNullSafe(F.col("__s"))).where(
-            (F.col("place") >= F.col("low")) & (F.shiftright("place", bits + STEP_BITS) == F.shiftright("low", bits + STEP_BITS))
-        )
-        sums = inside.groupBy("source", F.shiftright("place", bits).alias("bucket")).agg(
+        parent = F.shiftright("place", bits + STEP_BITS) == F.shiftright("low", bits + STEP_BITS)
+        inside = entries.join(asked, source).where(parent)
+        sums = inside.groupBy("source", F.shiftright("place", bits).alias("at")).agg(
             F.sum(F.col("size") * F.col("copies")).alias("words"), F.count("*").alias("n"),
             F.first("before").alias("before"), F.first("rest").alias("rest"),
         )
-        order = Window.partitionBy("source").orderBy("bucket")
-        upto = F.sum("words").over(order)
+        order = Window.partitionBy("source").orderBy("at")
+        # At most 2 ** STEP_BITS rows of a source.
+        sums = stored(
+            sums.withColumns({
+                "upto": F.sum("words").over(order) + F.col("before"),
+                "seen": F.sum("n").over(order),
+                "last": F.lead("at").over(order).isNull(),
+            })
+        )
         # The end lies in the first bucket that holds more than is left; else in the last.
-        placed = sums.withColumn("upto", upto + F.col("before")).withColumn("last", F.lead("bucket").over(order).isNull())
-        found = (
-            placed.where((F.col("upto") > F.col("rest")) | F.col("last"))
-            .groupBy("source")
-            .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "n")).alias("f"))
-            .select(F.col("source").alias("__s"), (F.shiftleft("f.bucket", bits)).alias("__low"), "f.before", "f.n")
+        first = F.min(F.struct("at", (F.col("upto") - F.col("words")).alias("before"), "n", "seen"))
+        found = sums.where("upto > rest OR last").groupBy(F.col("source").alias("__s")).agg(first.alias("f"))
+        enough = F.col("seen") - F.col("f.seen") + F.col("f.n") >= bucket + fill
+        found = sums.join(found, source).groupBy("__s").agg(
+            F.first("f").alias("f"), F.min(F.when((F.col("at") >= F.col("f.at")) & enough, F.col("at"))).alias("to")
+        )
+        ends = stored(
+            ends.join(found, source, "left").select(
+                *sources.columns,
+                F.coalesce(F.shiftleft("f.at", bits), "low").alias("low"),
+                F.coalesce("f.before", ends["before"]).alias("before"),
+                F.coalesce(F.shiftleft(F.col("to") + 1, bits), "top").alias("top"),
+                F.coalesce("f.n", ends["n"]).alias("n"),
+            )
         )
-        narrowed = ends.alias("e").join(found.alias("f"), F.col("source").eqNullSafe(F.col("__s")), "left")
-        ends = stored(narrowed.select(
-            *(f"e.{c}" for c in sources.columns), F.coalesce("__low", "low").alias("low"),
-            F.coalesce("f.before", "e.before").alias("before"), F.coalesce("f.n", "e.n").alias("n"),
-        ))
     return ends
 
 
@@ -187,12 +197,12 @@ def mixture(
     entries = stored(
         rows.where("size > 0").groupBy("id", "source", "size", "place").agg(F.count("*").alias("copies"))
     )
-    ends = _ends(entries, targets, bucket).drop("n")
+    ends = _ends(entries, targets, bucket, fill).drop("n")
     tried = entries.join(
-        ends.select(F.col("source").alias("__s"), "rest", "before", "low"), F.col("source").eqNullSafe(F.col("__s"))
-    ).where("place >= low")
+        ends.select(F.col("source").alias("__s"), "rest", "before", "low", "top"), F.col("source").eqNullSafe(F.col("__s"))
+    ).where("place >= low AND place < top")
     order = F.rank().over(Window.partitionBy("source").orderBy("place"))
-    tried = tried.withColumn("__rank", order).where(F.col("__rank") <= bucket + fill).drop("__rank", "__s", "low")
+    tried = tried.withColumn("__rank", order).where(F.col("__rank") <= bucket + fill).drop("__rank", "__s", "low", "top")
     kinds = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
     fitted = stored(
         tried.groupBy("source").applyInArrow(
@@ -200,7 +210,7 @@ def mixture(
         )
     )
     tops = fitted.groupBy(F.col("source").alias("__t")).agg(F.max("place").alias("high"))
-    ends = stored(ends.join(tops, F.col("source").eqNullSafe(F.col("__t")), "left").drop("__t", "before", "rest"))
+    ends = stored(ends.join(tops, F.col("source").eqNullSafe(F.col("__t")), "left").drop("__t", "before", "rest", "top"))
     known = ends.withColumnRenamed("source", "__s")
     single = rows.join(known, F.col("source").eqNullSafe(F.col("__s"))).where(
         "size = 0 OR high IS NULL OR place < low OR place > high"
