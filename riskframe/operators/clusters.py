@@ -4,46 +4,46 @@ Seeds come in order of degree, then position.  A seed that is still free takes u
 to ``max_size - 1`` of its most similar free neighbours; the group counts when it
 has ``min_size`` members, otherwise all stay free.
 
-The order looks sequential, but a seed only depends on seeds within two steps of
-it.  So every round decides, in parallel, each seed that comes first among the
-undecided ones within two steps through free nodes.  Rounds repeat until the rest
-of the graph is small enough (``residue_edges``, a fixed bound) for one sequential
-finish.  Both paths give the sequential result.
+The order looks sequential, but what a seed does only depends on earlier seeds near it.
+Nodes are numbered in seed order once; after that a round is one job over the *live*
+edges, from seeds not yet decided to nodes still free:
+
+1.  every node learns the earliest seed that may still take it (one minimum per node);
+2.  a seed looks at the head of its list.  A neighbour is *safe* if no earlier seed may
+    take it.  Once the seed is safe itself and so are the neighbours it would take, it
+    is decided;
+3.  edges of decided seeds and to taken nodes go, and so does what lies behind a seed's
+    ``max_size - 1`` safe neighbours: it cannot reach that far any more.
+
+At least the earliest seed is decided in every round, usually a tenth of them.  Minima
+are combined before the shuffle and a seed sends on only the head of its list, so a node
+next to a third of all others costs no task more than its share.
 """
 
 from __future__ import annotations
 
 import logging
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe import constants as C
-from riskframe.scale import checkpointed, with_rank
+from riskframe.scale import LoopTables, with_rank
 
-RESIDUE_EDGES = 100_000
+#: Neighbours that a seed looks at in a round, as a multiple of those it can take.
+HEAD = 4
 _log = logging.getLogger(__name__)
 
 
-def _sequential(min_size: int, max_size: int):
-    def finish(edges: pd.DataFrame) -> pd.DataFrame:
-        open_seeds = edges[edges["open"]].drop_duplicates("src")
-        seeds = open_seeds.sort_values(["degree", "position"], ascending=[False, True])
-        ordered = edges.sort_values(["similarity", "dst"], ascending=[False, True])
-        nearby = {key: group["dst"].tolist() for key, group in ordered.groupby("src", sort=False)}
-        taken: set = set()
-        rows = []
-        for seed, degree, position in zip(seeds["src"], seeds["degree"], seeds["position"]):
-            if seed in taken:
-                continue
-            members = [key for key in nearby[seed] if key not in taken][: max_size - 1]
-            if len(members) + 1 < min_size:
-                continue
-            taken.update([seed, *members])
-            rows += [(seed, degree, position, key) for key in [seed, *members]]
-        return pd.DataFrame(rows, columns=["seed", "degree", "position", "member"])
-
-    return finish
+def _numbered(edges: DataFrame, positions: DataFrame | None) -> DataFrame:
+    """``key, number, seeds``: nodes in seed order; one without a position is no seed."""
+    degrees = edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree"))
+    if positions is None:
+        nodes = degrees.withColumn("position", F.col("key"))
+    else:
+        nodes = degrees.join(positions.select("key", "position"), "key", "left")
+    nodes = nodes.withColumn("seeds", F.col("position").isNotNull())
+    order = [F.desc("seeds"), F.desc("degree"), "position", "key"]
+    return with_rank(nodes, order, "number").select("key", "number", "seeds")
 
 
 def greedy_clusters(
@@ -52,7 +52,6 @@ def greedy_clusters(
     *,
     min_size: int = C.MIN_CLUSTER_SIZE,
     max_size: int = C.MAX_CLUSTER_SIZE,
-    residue_edges: int = RESIDUE_EDGES,
 ) -> DataFrame:
     """Members of every cluster as ``pattern_id, seed, member``.
 
@@ -60,102 +59,68 @@ def greedy_clusters(
     input order of equally connected seeds as ``key, position``; by default it is
     the order of the keys.
     """
-    if min_size < 2:
-        raise ValueError("a cluster has at least two members")
-    edges = checkpointed(edges)
-    key_type = edges.schema["src"].dataType.simpleString()
-    degrees = edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree"))
-    if positions is None:
-        nodes = degrees.withColumn("position", F.col("key"))
-    else:
-        nodes = degrees.join(positions.select("key", "position"), "key")
-    position_type = nodes.schema["position"].dataType.simpleString()
-    nodes = nodes.withColumn("open", F.lit(True))
-    # Every edge carries the seed order of its source end.
-    graph = checkpointed(
-        edges.join(nodes.withColumnRenamed("key", "src"), "src").select(
-            "src", "dst", "similarity", "degree", "position", "open"
-        )
-    )
-    schema = (
-        f"seed {key_type}, degree bigint, position {position_type}, member {key_type}"
-    )
-    done: list[DataFrame] = []
-    rounds = 0
-    # Edges between rejected seeds may stay to the end; only open seeds need a decision.
-    sizes = graph.agg(F.count("*").alias("edges"), F.count_if("open").alias("open"))
-    while (left := sizes.first()).open and left.edges > residue_edges:
-        picked, graph = _round(graph, min_size, max_size)
-        done.append(picked)
-        rounds += 1
-        _log.info("cluster round %d: %d edges were left", rounds, left.edges)
-        sizes = graph.agg(F.count("*").alias("edges"), F.count_if("open").alias("open"))
-    if left.open:
-        residue = graph.withColumn("residue", F.lit(0)).groupBy("residue")
-        done.append(residue.applyInPandas(_sequential(min_size, max_size), schema))
-    spark = edges.sparkSession
-    members = done[0] if done else spark.createDataFrame([], schema)
-    for part in done[1:]:
-        members = members.unionByName(part)
-    seeds = members.where(F.col("seed") == F.col("member")).select("seed", "degree", "position")
-    numbered = with_rank(seeds, [F.desc("degree"), "position", "seed"], "pattern_id")
-    return members.select("seed", "member").join(numbered.select("seed", "pattern_id"), "seed")
-
-
-def _round(graph: DataFrame, min_size: int, max_size: int) -> tuple[DataFrame, DataFrame]:
-    """Decide the seeds nothing earlier can touch; return their clusters and the rest."""
-    order = F.struct((-F.col("degree")).alias("d"), F.col("position").alias("p"), F.col("src").alias("k"))
-    own = graph.groupBy("src").agg(
-        F.first(F.when(F.col("open"), order)).alias("own")
-    )
-    # Earliest undecided seed within one step, then within two.
-    one_step = (
-        graph.select("src", "dst")
-        .join(own.select(F.col("src").alias("dst"), F.col("own").alias("far")), "dst")
-        .groupBy("src")
-        .agg(F.min("far").alias("near"))
-        .join(own, "src")
-        .select("src", "own", F.least("own", "near").alias("near"))
-    )
-    two_steps = (
-        graph.select("src", "dst")
-        .join(one_step.select(F.col("src").alias("dst"), F.col("near").alias("far")), "dst")
-        .groupBy("src")
-        .agg(F.min("far").alias("first"))
-    )
-    deciding = (
-        one_step.join(two_steps, "src")
-        .where(F.col("own").isNotNull() & (F.col("own") == F.least("near", "first")))
-        .select("src")
-    )
-    best = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    candidates = (
-        graph.join(deciding, "src", "left_semi")
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") < max_size)
-    )
-    sizes = candidates.groupBy("src").agg(
-        F.first("degree").alias("degree"),
-        F.first("position").alias("position"),
-        F.collect_list("dst").alias("members"),
-    )
-    groups = checkpointed(sizes)
-    accepted = groups.where(F.size("members") + 1 >= min_size)
-    picked = accepted.select(
-        F.col("src").alias("seed"),
-        "degree",
-        "position",
-        F.explode(F.concat(F.array("src"), F.col("members"))).alias("member"),
+    if not 2 <= min_size <= max_size:
+        raise ValueError("a cluster has at least two members and at most max_size")
+    tables = LoopTables(edges.sparkSession)
+    edges = tables.store(edges.select("src", "dst", "similarity"))
+    nodes = tables.store(_numbered(edges, positions))
+    seeds = nodes.where("seeds").select(F.col("key").alias("src"), F.col("number").alias("s"))
+    ends = nodes.select(F.col("key").alias("dst"), F.col("number").alias("d"))
+    numbered = edges.join(seeds, "src").join(ends, "dst")
+    state = tables.store(numbered.select("s", "d", "similarity", F.col("dst").alias("k"), F.lit(False).alias("picked")))
+    found, rounds = state.where("picked"), 0
+    while not (live := state.where("NOT picked")).isEmpty():
+        previous, state = state, tables.store(_round(live.drop("picked"), min_size, max_size))
+        found, rounds = found.unionByName(state.where("picked")), rounds + 1
+        if rounds == 1:
+            # Later states also hold clusters, which are still read.
+            found = state.where("picked")
+            tables.drop(previous)
+    _log.info("%d rounds", rounds)
+    found = tables.store(found.select("s", "k"))
+    leaders = with_rank(found.select("s").distinct(), ["s"], "pattern_id")
+    named = leaders.join(nodes.select(F.col("number").alias("s"), F.col("key").alias("seed")), "s")
+    members = found.join(named, "s").select("pattern_id", "seed", F.col("k").alias("member"))
+    return members.unionByName(named.select("pattern_id", "seed", F.col("seed").alias("member")))
+
+
+def _round(live: DataFrame, min_size: int, max_size: int) -> DataFrame:
+    """Live edges after one round, and its clusters as rows ``picked`` (seed, member key)."""
+    takes = max_size - 1
+    claims = F.array(F.struct(F.col("s").alias("node"), "s"), F.struct(F.col("d").alias("node"), "s"))
+    first = live.select(F.inline(claims)).groupBy("node").agg(F.min("s").alias("first"))
+    order = Window.partitionBy("s").orderBy(F.desc("similarity"), "k")
+    head = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEAD * takes)
+    # The seed asks about itself, too: place 0.
+    no_key = F.lit(None).cast(live.schema["k"].dataType)
+    own = F.struct(F.lit(0).alias("place"), F.col("s").alias("d"), F.lit(0.0).alias("similarity"), no_key.alias("k"))
+    other = F.struct("place", "d", "similarity", "k")
+    asked = head.select("s", F.inline(F.when(F.col("place") == 1, F.array(own, other)).otherwise(F.array(other))))
+    answers = asked.join(first, asked["d"] == first["node"])
+    item = F.struct("place", (F.col("first") >= F.col("s")).alias("safe"), "d", "similarity", "k")
+    seeds = answers.groupBy("s").agg(F.sort_array(F.collect_list(item)).alias("head"))
+    listed = F.slice("head", 2, HEAD * takes)
+    mine = F.slice("head", 2, takes)
+    seeds = seeds.select(
+        "s",
+        (F.col("head")[0]["safe"] & F.forall(mine, lambda x: x["safe"])).alias("decided"),
+        mine.alias("mine"),
+        F.try_element_at(F.filter(listed, lambda x: x["safe"]), F.lit(takes)).alias("last"),
     )
-    taken = picked.select(F.col("member").alias("node"))
-    rejected = groups.where(F.size("members") + 1 < min_size).select(
-        F.col("src"), F.lit(True).alias("__rejected")
+    picked = seeds.where(F.col("decided") & (F.size("mine") >= min_size - 1)).select("s", "mine")
+    taken = picked.select(F.explode(F.concat(F.transform("mine", lambda x: x["d"]), F.array("s"))).alias("node"))
+    reach = seeds.where("NOT decided").select("s", F.col("last.similarity").alias("least"), F.col("last.k").alias("last_k"))
+    within = (
+        F.col("least").isNull()
+        | (F.col("similarity") > F.col("least"))
+        | ((F.col("similarity") == F.col("least")) & (F.col("k") <= F.col("last_k")))
     )
     rest = (
-        graph.join(taken, F.col("src") == F.col("node"), "left_anti")
-        .join(taken, F.col("dst") == F.col("node"), "left_anti")
-        .join(rejected, "src", "left")
-        .withColumn("open", F.col("open") & F.col("__rejected").isNull())
-        .drop("__rejected")
+        live.join(reach, "s")
+        .where(within)
+        .join(taken, F.col("s") == F.col("node"), "left_anti")
+        .join(taken, F.col("d") == F.col("node"), "left_anti")
+        .select(*live.columns, F.lit(False).alias("picked"))
     )
-    return picked, checkpointed(rest)
+    groups = picked.select("s", F.inline("mine")).select("s", "d", "similarity", "k", F.lit(True).alias("picked"))
+    return rest.unionByName(groups)

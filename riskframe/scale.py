@@ -5,12 +5,13 @@
   because the size of a local relation is known.
 * :func:`with_rank` numbers rows of any size without a one-task window.
 * :func:`checkpointed` cuts lineage on reliable storage.
+* :class:`LoopTables` does so for the tables of a loop and deletes what is read no more.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,6 +38,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class LoopTables:
+    """Parquet tables of one loop in a folder of its own below the checkpoint folder.
+
+    Unlike a checkpoint, a table read back has the size of its files: estimates do not
+    grow from round to round, and its columns are read one by one.  A lost executor
+    costs the running job's tasks, never an earlier round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/loop-{uuid.uuid4().hex}"
+        self._written = 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = f"{self.folder}/table-{self._written}"
+        self._written += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the files of a stored table that no later plan reads."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def settle_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Evaluate ``df`` once when it has at most ``max_rows`` rows.
 

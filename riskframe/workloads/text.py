@@ -23,7 +23,7 @@ def _quoted(value: str) -> str:
 _KEYWORDS = "keywords(turn, component, keyword) AS (VALUES " + ", ".join(
     f"({turn}, {_quoted(name)}, {_quoted(word)})" for turn, name, word in C.keyword_table()
 ) + ")"
-_STOP_WORDS = ", ".join(_quoted(word) for word in C.STOP_WORDS)
+STOP_WORDS = ", ".join(_quoted(word) for word in C.STOP_WORDS)
 
 _CLASSIFIED = f"""{_KEYWORDS},
 texts AS (
@@ -108,7 +108,7 @@ words AS (
          unnest(list_distinct(regexp_extract_all(lower(summary || ' ' || description),
            '[a-zA-ZçğıöşüÇĞİÖŞÜ]{{3,}}'))) AS word
   FROM bugs_text),
-themed AS (SELECT * FROM words WHERE word NOT IN ({_STOP_WORDS}))"""
+themed AS (SELECT * FROM words WHERE word NOT IN ({STOP_WORDS}))"""
 
 
 @query(
@@ -135,7 +135,7 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GROUPS = """
 grouped AS (SELECT * EXCLUDE (component), split_part(summary, ' ', 2) AS component,
                    position // 8 AS pattern_id FROM bugs_text)"""
-_KEYWORD_RANKS = f"""{_WORDS},
+KEYWORD_RANKS = """
 sizes AS (SELECT pattern_id, count(*) AS size FROM grouped GROUP BY 1),
 counted AS (SELECT pattern_id, word, count(*) AS bugs FROM themed GROUP BY 1, 2),
 ranked AS (
@@ -147,7 +147,7 @@ ranked AS (
 
 @query(
     "a19_keywords",
-    f"""{_TEXT}, {_GROUPS}, {_KEYWORD_RANKS} SELECT pattern_id, word, bugs, rank FROM ranked""",
+    f"""{_TEXT}, {_GROUPS}, {_WORDS}, {KEYWORD_RANKS} SELECT pattern_id, word, bugs, rank FROM ranked""",
 )
 def group_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19, O9."""
@@ -172,7 +172,7 @@ def common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component.join(priority, "pattern_id")
 
 
-_RATINGS = f"""
+RATINGS = f"""
 counts AS (
   SELECT pattern_id, count(*) AS bug_count,
          count(*) FILTER (WHERE priority = 'Highest') AS highest,
@@ -190,7 +190,7 @@ ratings AS (
 
 @query(
     "a20_severity",
-    f"{_TEXT}, {_GROUPS}, {_RATINGS} SELECT pattern_id, bug_count, severity FROM ratings",
+    f"{_TEXT}, {_GROUPS}, {RATINGS} SELECT pattern_id, bug_count, severity FROM ratings",
 )
 def severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.cluster_ratings(_groups(spark, sf_dir))
@@ -198,7 +198,7 @@ def severities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c15_pattern_table",
-    f"""{_TEXT}, {_GROUPS}, {_KEYWORD_RANKS}, {_RATINGS},
+    f"""{_TEXT}, {_GROUPS}, {_WORDS}, {KEYWORD_RANKS}, {RATINGS},
     themes AS (
       SELECT pattern_id, string_agg(word, ', ' ORDER BY rank) FILTER (WHERE rank <= 5) AS words,
              string_agg(word, ' ' ORDER BY rank) AS keywords,
@@ -226,7 +226,7 @@ def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a21_pattern_kpis",
-    f"""{_TEXT}, {_GROUPS}, {_RATINGS}
+    f"""{_TEXT}, {_GROUPS}, {RATINGS}
     SELECT count(*) AS patterns, CAST(sum(bug_count) AS BIGINT) AS bugs_in_patterns,
            count(*) FILTER (WHERE severity = 'critical') AS critical_patterns FROM ratings""",
 )
@@ -236,7 +236,7 @@ def pattern_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "o6_pattern_order",
-    f"""{_TEXT}, {_GROUPS}, {_RATINGS}
+    f"""{_TEXT}, {_GROUPS}, {RATINGS}
     SELECT pattern_id, severity, bug_count, row_number() OVER (ORDER BY
         CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END,
         bug_count DESC, pattern_id) AS rank

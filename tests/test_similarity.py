@@ -97,14 +97,13 @@ def random_graph(seed: int, nodes: int, degree: int) -> dict:
 
 
 @pytest.mark.parametrize(
-    ("seed", "nodes", "degree", "min_size", "residue"),
-    [(1, 60, 2, 2, 100_000), (2, 60, 2, 2, 0), (3, 40, 3, 3, 0), (4, 60, 1, 4, 60)],
+    ("seed", "nodes", "degree", "min_size"), [(1, 60, 2, 2), (2, 60, 2, 2), (3, 40, 3, 3), (4, 60, 1, 4)]
 )
-def test_clusters_equal_the_sequential_loop(spark, seed, nodes, degree, min_size, residue):
+def test_clusters_equal_the_sequential_loop(spark, seed, nodes, degree, min_size):
     edges = random_graph(seed, nodes, degree)
     rows = [(a, b, w) for a, near in edges.items() for b, w in near.items()]
     df = spark.createDataFrame(rows, "src bigint, dst bigint, similarity double")
-    found = greedy_clusters(df, min_size=min_size, max_size=5, residue_edges=residue).collect()
+    found = greedy_clusters(df, min_size=min_size, max_size=5).collect()
     clusters: dict = {}
     for row in found:
         clusters.setdefault((row.pattern_id, row.seed), set()).add(row.member)
