@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from riskframe import constants as C
 from riskframe.scale import LoopTables, with_rank
@@ -68,14 +68,13 @@ def greedy_clusters(
     ends = nodes.select(F.col("key").alias("dst"), F.col("number").alias("d"))
     numbered = edges.join(seeds, "src").join(ends, "dst")
     state = tables.store(numbered.select("s", "d", "similarity", F.col("dst").alias("k"), F.lit(False).alias("picked")))
-    found, rounds = state.where("picked"), 0
-    while not (live := state.where("NOT picked")).isEmpty():
-        previous, state = state, tables.store(_round(live.drop("picked"), min_size, max_size))
-        found, rounds = found.unionByName(state.where("picked")), rounds + 1
-        if rounds == 1:
-            # Later states also hold clusters, which are still read.
-            found = state.where("picked")
-            tables.drop(previous)
+    found, rounds, left = state.where("picked"), 0, 1
+    while left:
+        # Rows are counted while they are written.
+        counts = Observation()
+        rows = _round(state.where("NOT picked").drop("picked"), min_size, max_size)
+        state = tables.store(rows.observe(counts, F.count_if(~F.col("picked")).alias("left")))
+        found, rounds, left = found.unionByName(state.where("picked")), rounds + 1, counts.get["left"]
     _log.info("%d rounds", rounds)
     found = tables.store(found.select("s", "k"))
     leaders = with_rank(found.select("s").distinct(), ["s"], "pattern_id")
@@ -110,6 +109,7 @@ def _round(live: DataFrame, min_size: int, max_size: int) -> DataFrame:
     picked = seeds.where(F.col("decided") & (F.size("mine") >= min_size - 1)).select("s", "mine")
     taken = picked.select(F.explode(F.concat(F.transform("mine", lambda x: x["d"]), F.array("s"))).alias("node"))
     reach = seeds.where("NOT decided").select("s", F.col("last.similarity").alias("least"), F.col("last.k").alias("last_k"))
+    reach = reach.join(taken, F.col("s") == F.col("node"), "left_anti")
     within = (
         F.col("least").isNull()
         | (F.col("similarity") > F.col("least"))
@@ -118,7 +118,6 @@ def _round(live: DataFrame, min_size: int, max_size: int) -> DataFrame:
     rest = (
         live.join(reach, "s")
         .where(within)
-        .join(taken, F.col("s") == F.col("node"), "left_anti")
         .join(taken, F.col("d") == F.col("node"), "left_anti")
         .select(*live.columns, F.lit(False).alias("picked"))
     )
