@@ -50,30 +50,41 @@ def skipped_keys(states: DataFrame) -> DataFrame:
 
 
 def daily_quota(
-    requests: DataFrame, limit: int = C.DAILY_REQUEST_LIMIT, order: tuple[str, ...] = ("ts", "id")
+    requests: DataFrame,
+    limit: int = C.DAILY_REQUEST_LIMIT,
+    order: tuple[str, ...] = ("ts", "id"),
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """``accepted`` per request; ``requests`` has ``ts, id, ok``.
 
     Only successful calls count.  Everything after the ``limit``-th success of a
-    calendar day is rejected, so that one row per day decides.
+    calendar day is rejected, so that one row per day decides.  ``used`` (``day,
+    used``) holds successes accepted before; they come off the day's limit.
     """
     if limit < 1:
         return requests.withColumn("accepted", F.lit(False))
     day = F.to_date("ts")
     place = F.row_number().over(Window.partitionBy("__day").orderBy(*order))
-    cutoff = (
+    places = (
         requests.where("ok")
         .select(*order, day.alias("__day"))
         .withColumn("__place", place)
         .where(F.col("__place") <= limit)
-        .where(F.col("__place") == limit)
-        .select("__day", F.struct(*order).alias("__cutoff"))
     )
+    rows = requests.withColumn("__day", day)
+    if used is None:
+        rows = rows.withColumn("__left", F.lit(limit))
+        places = places.withColumn("__left", F.lit(limit))
+    else:
+        left = used.select(F.col("day").alias("__day"), (F.lit(limit) - F.col("used")).alias("__left"))
+        rows, places = (
+            side.join(left, "__day", "left").withColumn("__left", F.coalesce("__left", F.lit(limit)))
+            for side in (rows, places)
+        )
+    cutoff = places.where(F.col("__place") == F.col("__left")).select("__day", F.struct(*order).alias("__cutoff"))
     within = F.col("__cutoff").isNull() | (F.struct(*order) <= F.col("__cutoff"))
-    return (
-        requests.withColumn("__day", day)
-        .join(cutoff, "__day", "left")
-        .select(*requests.columns, within.alias("accepted"))
+    return rows.join(cutoff, "__day", "left").select(
+        *requests.columns, (within & (F.col("__left") > 0)).alias("accepted")
     )
 
 

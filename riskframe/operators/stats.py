@@ -53,6 +53,11 @@ def module_stats(bugs: DataFrame, now: datetime, *, by_instant: bool = False) ->
             F.count_if("recent").alias("recent"),
         )
     )
+    return stats_of_counts(by_priority)
+
+
+def stats_of_counts(by_priority: DataFrame) -> DataFrame:
+    """A1-A8 from counts ``module, priority, bugs, closed, recent``."""
     by_priority = settle_small(by_priority)
     table_size = by_priority.agg(F.sum("bugs")).scalar()
     histogram = F.sort_array(F.collect_list(F.struct("priority", "bugs")))

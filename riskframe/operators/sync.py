@@ -51,19 +51,6 @@ def sync_report(plan: DataFrame) -> DataFrame:
     )
 
 
-def synced_index(current: DataFrame, plan: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Index after a plan: untouched rows as stored, written rows with new vectors.
-
-    ``vectors`` holds ``key, doc_vec, query_vec`` for the written keys only.
-    """
-    touched = plan.where(F.col("action") != "unchanged").select("key")
-    kept = current.join(touched, "key", "left_anti")
-    written = plan.where(F.col("action").isin("insert", "update")).join(vectors, "key", "left")
-    return kept.unionByName(
-        written.select("key", "document", "metadata", "doc_vec", "query_vec").select(*current.columns)
-    )
-
-
 def upsert_results(existing: DataFrame, batch: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Results after a batch; the newest row per ``bug_key`` stays.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators import sync
 from riskframe.scale import checkpointed
-from riskframe.sources.tables import VersionedTable
+from riskframe.sources.tables import IndexStore
 
 
 @dataclass(frozen=True)
@@ -23,16 +23,17 @@ class SyncReport:
 
 
 def sync_index(
-    table: VersionedTable, bugs: DataFrame, embedder, order: tuple[str, ...] = ("key",)
+    index: IndexStore, bugs: DataFrame, embedder, order: tuple[str, ...] = ("key",), batch: int | None = None
 ) -> SyncReport:
-    """Write what changed, drop what went, embed only new and changed bugs.
+    """Write what changed, mark what went, embed only new and changed bugs.
 
     An empty bug table, or one without anything to index, leaves the index alone
     (K3): it cannot be told from a failed load.  A second run over the same bugs
-    writes nothing.  ``embedder`` is a fitted embedder.
+    writes nothing.  ``embedder`` is a fitted embedder.  ``batch`` numbers the load; a
+    load repeated under its number is planned against the index before it.
     """
-    current = table.read()
-    plan = checkpointed(sync.plan_sync(current, bugs, order))
+    number = index.next_number() if batch is None else batch
+    plan = checkpointed(sync.plan_sync(index.read(before=number), bugs, order))
     counts = sync.sync_report(plan).first()
     changes = counts.written + counts.deleted
     applied = counts.desired > 0 and changes > 0
@@ -41,6 +42,5 @@ def sync_index(
         embedded = embedder.embed(
             embedder.embed(changed, "document", "doc_vec"), "query", "query_vec"
         )
-        vectors = embedded.select("key", "doc_vec", "query_vec")
-        table.replace(sync.synced_index(current, plan, vectors))
+        index.apply(embedded, plan.where(F.col("action") == "delete"), number)
     return SyncReport(counts.written, counts.deleted, counts.unchanged, counts.desired, applied)

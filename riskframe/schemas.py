@@ -32,6 +32,12 @@ RESULT = _struct(
 
 DENSITY = _struct(module=_S, bug_density=_D, total_bugs=_L, risk_score=_I, risk_level=_S)
 
+#: Bugs by module, priority and, for recent ones, creation; ``batch`` is the last one counted.
+COUNTS = _struct(module=_S, priority=_S, created=_S, bugs=_L, closed=_L, batch=_L)
+
+#: Accepted successes per day, after and before the batch that was counted last.
+DAYS = _struct(day=T.DateType(), used=_L, before=_L, batch=_L)
+
 PII_MAP = _struct(original=_S, token=_S, category=_S, seq=_L)
 
 REPLY = _struct(

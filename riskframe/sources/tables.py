@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from riskframe import schemas
+from riskframe.operators.lookup import last_per_key
 from riskframe.operators.sync import upsert_results
 from riskframe.scale import with_rank
 
@@ -128,14 +129,101 @@ class ResultStore:
         return -1 if highest is None else highest
 
 
+class IndexStore:
+    """P5: the similarity index as a compacted base and deltas on top.
+
+    A delta holds the written rows of one load and, as rows with ``gone``, marks for
+    deleted keys, so a load writes what it changes.  Readers take the newest row of
+    every key and drop marks (merge on read).  Deltas are numbered; a load repeated
+    under its number replaces itself.  A delta that was not finished is not read.
+    """
+
+    schema = T.StructType([*schemas.INDEX.fields, T.StructField("gone", T.BooleanType()), T.StructField("seq", T.LongType())])
+
+    def __init__(self, spark: SparkSession, path: str, origin: str = "live"):
+        self.spark = spark
+        self._base = VersionedTable(spark, f"{path.rstrip('/')}/base", self.schema, origin)
+        self._deltas = f"{path.rstrip('/')}/deltas/origin={origin}"
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the finished deltas."""
+        location, files = _folder(self.spark, self._deltas)
+        if not files.exists(location):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(location)]
+        found = [int(name.split("=")[1]) for name in names if name.startswith("seq=")]
+        return sorted(n for n in found if files.exists(_folder(self.spark, f"{self._deltas}/seq={n}/_SUCCESS")[0]))
+
+    def _newest(self, before: int | None = None) -> DataFrame:
+        """Newest row of every key, marks included, of deltas numbered below ``before``."""
+        base = self._base.read()
+        merged = base.agg(F.max("seq")).first()[0]
+        merged = -1 if merged is None else merged
+        parts = [n for n in self._numbers() if n > merged and (before is None or n < before)]
+        if not parts:
+            return base
+        plain = T.StructType([f for f in self.schema.fields if f.name != "seq"])
+        rows = base
+        for n in parts:
+            delta = self.spark.read.schema(plain).parquet(f"{self._deltas}/seq={n}")
+            rows = rows.unionByName(delta.withColumn("seq", F.lit(n).cast("bigint")))
+        # Vectors stay where they are until the newest row of a key is known.
+        return last_per_key(rows, ["key"], ["seq"])
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The index, optionally as it was before the load numbered ``before``."""
+        columns = [field.name for field in schemas.INDEX]
+        return self._newest(before).where("NOT gone").select(*columns)
+
+    def next_number(self) -> int:
+        merged = self._base.read().agg(F.max("seq")).first()[0]
+        return max([-1 if merged is None else merged, *self._numbers()]) + 1
+
+    def apply(self, written: DataFrame, deleted: DataFrame, number: int) -> None:
+        """Write one delta: rows of the index and keys that are gone."""
+        columns = [F.col(field.name).cast(field.dataType) for field in schemas.INDEX]
+        empty = [F.lit(None).cast(field.dataType).alias(field.name) for field in schemas.INDEX if field.name != "key"]
+        rows = written.select(*columns, F.lit(False).alias("gone")).unionByName(
+            deleted.select(F.col("key").cast("string"), *empty, F.lit(True).alias("gone"))
+        )
+        rows.write.mode("overwrite").parquet(f"{self._deltas}/seq={number}")
+
+    def compact(self) -> None:
+        """Fold the finished deltas into the base; only those are deleted.
+
+        The newest mark stays in the base, so the number of the last load is not lost.
+        """
+        numbers = self._numbers()
+        if not numbers:
+            return
+        last = numbers[-1]
+        rows = self._newest(last + 1).where("NOT gone").withColumn("seq", F.lit(last).cast("bigint"))
+        mark = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.INDEX]
+        rows = rows.unionByName(self.spark.range(1).select(*mark, F.lit(True).alias("gone"), F.lit(last).cast("bigint").alias("seq")))
+        self._base.replace(rows.select(*[f.name for f in self.schema]))
+        for number in numbers:
+            location, files = _folder(self.spark, f"{self._deltas}/seq={number}")
+            files.delete(location, True)
+
+
+def count_table(spark: SparkSession, path: str, origin: str = "live") -> VersionedTable:
+    """K5: counts of the newest versions of all bugs."""
+    return VersionedTable(spark, path, schemas.COUNTS, origin)
+
+
+def day_table(spark: SparkSession, path: str, origin: str = "live") -> VersionedTable:
+    """K4: accepted successes per day."""
+    return VersionedTable(spark, path, schemas.DAYS, origin)
+
+
 def density_table(spark: SparkSession, path: str, origin: str = "live") -> VersionedTable:
     """The density map, overwritten as a whole."""
     return VersionedTable(spark, path, schemas.DENSITY, origin)
 
 
-def index_table(spark: SparkSession, path: str, origin: str = "live") -> VersionedTable:
+def index_table(spark: SparkSession, path: str, origin: str = "live") -> IndexStore:
     """The similarity index."""
-    return VersionedTable(spark, path, schemas.INDEX, origin)
+    return IndexStore(spark, path, origin)
 
 
 #: Errors of Spark that mean a file itself is damaged, not that storage fails for now.

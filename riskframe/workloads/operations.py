@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.functions import text
+from riskframe.functions.vectors import HashedTextEmbedder
 from riskframe.operators import lookup, prompts, quota, stats, sync
 from riskframe.plans import analysis
+from riskframe.plans.index_sync import SyncReport, sync_index
 from riskframe.plans.module_risk import module_risk
 from riskframe.schemas import TRACKER_EVENT
 from riskframe.sources import tables
+from riskframe.streaming import state
 from riskframe.streaming.webhook import scored_events
 from riskframe.streaming.weekly import weekly_counts
 from riskframe.workloads import sqlviews as V, views
 from riskframe.workloads.registry import query
+from riskframe.workloads.storage import scratch
+from riskframe.workloads.text import TRIM
 
 # --- index synchronisation ---------------------------------------------------
 # The stored index holds the labelled documents; the new load is all documents of
@@ -98,6 +103,58 @@ def second_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.sync_report(sync.plan_sync(stored, bugs, ["position"]))
 
 
+def _loads(spark: SparkSession, sf_dir: str) -> tuple[tables.IndexStore, list[SyncReport]]:
+    """The index after three loads: all documents, the changed load, and one that came back empty."""
+    index = tables.index_table(spark, scratch(spark))
+    bugs, changed = views.bugs_text(spark, sf_dir), _new_load(spark, sf_dir)
+    embedder = HashedTextEmbedder(16).fit(bugs, "summary")
+    reports = [sync_index(index, load, embedder, ("position",)) for load in (bugs, changed, changed.limit(0))]
+    return index, reports
+
+
+_LOADED = """
+loaded AS (
+  SELECT key, summary, description, component, priority,
+         CASE WHEN toxic = 1 THEN 'Reopened' ELSE status END AS status, status AS old_status
+  FROM bugs_text LEFT JOIN labels ON doc_id = position WHERE summary NOT LIKE 'de %')"""
+
+
+@query(
+    "k2_stored_index",
+    f"""{V.with_views(V.BUGS_TEXT, _LOADED)}
+    SELECT key, status, 16 AS dimensions,
+           md5({TRIM.format("summary || ' ' || description || ' ' || component || ' ' || priority || ' ' || status")}) AS digest
+    FROM loaded""",
+)
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5, K2, K3: what is stored after two loads, an empty one and a compaction."""
+    index, _ = _loads(spark, sf_dir)
+    index.compact()
+    return index.read().select(
+        "key", "metadata.status", F.size("doc_vec").alias("dimensions"), F.md5("document").alias("digest")
+    )
+
+
+@query(
+    "k3_load_reports",
+    f"""{V.with_views(V.BUGS_TEXT, _LOADED)}
+    SELECT 1 AS load, count(*) AS written, 0 AS deleted, 0 AS unchanged, count(*) AS desired, true AS applied
+    FROM bugs_text
+    UNION ALL
+    SELECT 2, count(*) FILTER (WHERE status <> old_status), (SELECT count(*) FROM bugs_text) - count(*),
+           count(*) FILTER (WHERE status = old_status), count(*), true FROM loaded
+    UNION ALL
+    SELECT 3, 0, count(*), 0, 0, false FROM loaded""",
+)
+def load_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second load writes its changes only, the empty one is not applied."""
+    _, reports = _loads(spark, sf_dir)
+    rows = [(n, r.written, r.deleted, r.unchanged, r.desired, r.applied) for n, r in enumerate(reports, 1)]
+    return spark.createDataFrame(
+        rows, "load int, written bigint, deleted bigint, unchanged bigint, desired bigint, applied boolean"
+    )
+
+
 # --- results -----------------------------------------------------------------
 
 
@@ -401,3 +458,66 @@ def weekly_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly_counts(bugs).withColumn("week", F.col("week").cast("string"))
 
 
+
+
+def _arrived(parts: list[DataFrame], folder: str, run) -> None:
+    """Each part arrives as files of ``folder``, and the stream is started anew for it."""
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        stream = part.sparkSession.readStream.schema(part.schema).parquet(folder)
+        run(stream).awaitTermination()
+
+
+@query(
+    "k5_stream_modules",
+    f"""{V.with_views(V.BUGS_EVENTS)},
+    newest AS (
+      SELECT 'U-' || user_id AS key, bugs_events.* EXCLUDE (key)
+      FROM bugs_events JOIN events ON event_id = position
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY position DESC) = 1),
+    {V.scored_modules("newest", cutoff=V.CUTOFFS["bugs_events"])}
+    SELECT module, total_bugs, open_bugs, trend, risk_score, risk_level FROM modules""",
+)
+def stream_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 as a stream: versions of one bug per user arrive out of order in three loads."""
+    users = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), "user_id")
+    versions = views.bugs_events(spark, sf_dir).join(users, "position").withColumn(
+        "key", F.concat(F.lit("U-"), F.col("user_id").cast("string"))
+    )
+    fields = "module string, total_bugs bigint, open_bugs bigint, trend string, risk_score int, risk_level string"
+    folder = scratch(spark)
+    counts = tables.count_table(spark, f"{folder}/counts")
+    modules = tables.VersionedTable(spark, f"{folder}/modules", T.StructType.fromDDL(fields))
+    _arrived(
+        [versions.where(F.col("position") % 3 == part) for part in (2, 0, 1)],
+        f"{folder}/in",
+        lambda stream: state.run_module_trend(
+            stream, counts, modules, lambda: views.EVENTS_NOW, f"{folder}/check", ("position",)
+        ),
+    )
+    return modules.read()
+
+
+@query(
+    "k4_stream_quota",
+    """WITH numbered AS (
+      SELECT event_id AS id, event_type <> 'error' AS ok,
+             coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (
+               PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM events)
+    SELECT id, ok, before < 50 AS accepted FROM numbered""",
+)
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 as a stream: mornings arrive first, then afternoons of the same days."""
+    rows = views.requests(spark, sf_dir)
+    folder = scratch(spark)
+    days = tables.day_table(spark, f"{folder}/days")
+    _arrived(
+        [rows.where(F.hour("ts") < 12), rows.where(F.hour("ts") >= 12)],
+        f"{folder}/in",
+        lambda stream: state.run_quota_gate(
+            stream, f"{folder}/decided", days, f"{folder}/check", keep_days=100_000
+        ),
+    )
+    return spark.read.parquet(f"{folder}/decided").select("id", "ok", "accepted")

@@ -71,13 +71,13 @@ def text_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TRIM = "trim({0}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160))"
+TRIM = "trim({0}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160))"
 
 
 @query(
     "c3_documents",
     f"""{_TEXT}
-    SELECT key, md5({_TRIM.format("summary || ' ' || description || ' ' || component || ' ' || priority || ' ' || status")}) AS digest
+    SELECT key, md5({TRIM.format("summary || ' ' || description || ' ' || component || ' ' || priority || ' ' || status")}) AS digest
     FROM bugs_text""",
 )
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +330,7 @@ _SEGMENT = """CASE WHEN doc_id % 7 = 0 THEN 'Unknown' ELSE
 @query(
     "s3_normalized",
     f"""SELECT 'DOC-' || doc_id AS key, lang || ' ' || source AS summary,
-           md5({_TRIM.format("text")}) AS description,
+           md5({TRIM.format("text")}) AS description,
            CASE WHEN lang = 'de' THEN 'Medium' ELSE 'High' END AS priority, 'Open' AS status,
            {_SEGMENT} AS component, '2024-01-05T00:00:00' AS created, '' AS updated, '' AS assignee,
            '' AS reporter, '' AS resolution, 0 AS labels
@@ -349,7 +349,7 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s5_rich_text",
-    f"""SELECT doc_id, md5({_TRIM.format(
+    f"""SELECT doc_id, md5({TRIM.format(
         "array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ')")}) AS digest
     FROM documents""",
 )

@@ -77,7 +77,7 @@ def test_index_sync_is_idempotent_and_never_empties(spark, tmp_path):
     first = sync_index(table, bugs, embedder)
     assert (first.written, first.deleted, first.applied) == (2, 0, True)
     second = sync_index(table, bugs, embedder)
-    assert (second.written, second.unchanged, second.applied, table.version()) == (0, 2, False, 1)
+    assert (second.written, second.unchanged, second.applied, table.next_number()) == (0, 2, False, 1)
     changed = spark.createDataFrame([bug("a", "login broken", "Closed")], BUG)
     third = sync_index(table, changed, embedder)
     assert (third.written, third.deleted) == (1, 1)
@@ -88,6 +88,34 @@ def test_index_sync_is_idempotent_and_never_empties(spark, tmp_path):
     assert tables.index_table(spark, str(tmp_path / "index"), "live").read().isEmpty()
 
 
+def test_index_deltas_hold_what_changed(spark, tmp_path):
+    table = tables.index_table(spark, str(tmp_path / "index"))
+    rows = [bug(f"b{n:03d}", f"page number {n} is slow") for n in range(200)]
+    embedder = HashedTextEmbedder(8).fit(spark.createDataFrame(rows, BUG), "summary")
+    sync_index(table, spark.createDataFrame(rows, BUG), embedder)
+    rows = [bug("b000", "another text"), *rows[1:-1], bug("new", "one more")]
+    loaded = spark.createDataFrame(rows, BUG)
+    report = sync_index(table, loaded, embedder)
+    assert (report.written, report.deleted, report.unchanged) == (2, 1, 198)
+    delta = spark.read.parquet(str(tmp_path / "index" / "deltas" / "origin=live" / "seq=1"))
+    assert sorted((r.key, r.gone) for r in delta.collect()) == [("b000", False), ("b199", True), ("new", False)]
+    stored = sorted(map(str, table.read().collect()))
+    # A load repeated under its number is planned against the index before it.
+    assert sync_index(table, loaded, embedder, batch=1) == report
+    assert sorted(map(str, table.read().collect())) == stored
+    # A writer that died leaves a delta nobody reads.
+    unfinished = tmp_path / "index" / "deltas" / "origin=live" / "seq=2"
+    unfinished.mkdir()
+    (unfinished / "part-0.parquet").write_bytes(b"half a file")
+    assert sorted(map(str, table.read().collect())) == stored
+    table.compact()
+    assert sorted(map(str, table.read().collect())) == stored and table.next_number() == 2
+    assert unfinished.exists() and not (tmp_path / "index" / "deltas" / "origin=live" / "seq=1").exists()
+    assert sync_index(table, loaded, embedder).unchanged == 200
+    sync_index(table, spark.createDataFrame(rows[:3], BUG), embedder)
+    assert sorted(r.key for r in table.read().collect()) == ["b000", "b001", "b002"]
+
+
 # --- S7, W3, W4 --------------------------------------------------------------
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import datetime, timezone
+from random import Random
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe import schemas
 from riskframe.functions.vectors import HashedTextEmbedder
+from riskframe.operators import stats
+from riskframe.operators.lookup import last_per_key
 from riskframe.plans.module_risk import module_risk
 from riskframe.sources import tables
 from riskframe.streaming import state, webhook, weekly
@@ -79,7 +82,7 @@ def test_index_sync_stream(spark, tmp_path):
 
 
 def test_module_trend_stream(spark, tmp_path):
-    bugs = tables.VersionedTable(spark, str(tmp_path / "bugs"), BUG)
+    counts = tables.count_table(spark, str(tmp_path / "counts"))
     fields = T.StructType([
         T.StructField("module", T.StringType()), T.StructField("total_bugs", T.LongType()),
         T.StructField("open_bugs", T.LongType()), T.StructField("risk_score", T.IntegerType()),
@@ -88,7 +91,7 @@ def test_module_trend_stream(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(BUG).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-        state.run_module_trend(stream, bugs, modules, lambda: APRIL, str(tmp_path / "check")).awaitTermination(60)
+        state.run_module_trend(stream, counts, modules, lambda: APRIL, str(tmp_path / "check")).awaitTermination(60)
 
     def version(key, status, updated):
         return json.dumps({"key": key, "component": "Pay", "status": status, "updated": updated, "created": "2026-03-20"})
@@ -99,17 +102,48 @@ def test_module_trend_stream(spark, tmp_path):
     write(tmp_path / "in" / "2.json", [version("a", "Closed", "2")])
     run()
     assert tuple(modules.read().first())[:3] == ("Pay", 2, 1)
+    # A late version of an older order changes nothing; a move takes the bug along.
+    write(tmp_path / "in" / "3.json", [version("a", "Open", "0"), version("b", "Open", "3").replace("Pay", "Web")])
+    run()
+    assert {tuple(row)[:3] for row in modules.read().collect()} == {("Pay", 1, 0), ("Web", 1, 1)}
+
+
+def test_module_trend_equals_the_batch_form(spark, tmp_path):
+    random = Random(3)
+    fields = [T.StructField(n, T.StringType()) for n in ("module", "trend", "risk_level")]
+    fields += [T.StructField(n, T.LongType()) for n in ("total_bugs", "open_bugs", "recent_bug_count", "risk_score")]
+    modules = tables.VersionedTable(spark, str(tmp_path / "modules"), T.StructType(fields))
+    counts = tables.count_table(spark, str(tmp_path / "counts"))
+    stored = []
+    for load in range(3):
+        rows = [
+            {
+                "key": f"B{random.randrange(40)}", "component": random.choice(["Pay", "Web", "", None]), "status": random.choice(["Open", "Closed"]),
+                "priority": random.choice(["High", "Low", None]), "created": f"2026-0{random.randint(1, 4)}-10", "updated": f"{load}-{n:03d}",
+            }
+            for n in range(60)
+        ]
+        stored += rows
+        write(tmp_path / "in" / f"{load}.json", [json.dumps(row) for row in rows])
+        clock = datetime(2026, 4, 1 + 8 * load, tzinfo=timezone.utc)
+        stream = spark.readStream.schema(BUG).json(str(tmp_path / "in"))
+        state.run_module_trend(stream, counts, modules, lambda now=clock: now, str(tmp_path / "check")).awaitTermination(60)
+        bugs = spark.createDataFrame([[row.get(f.name) for f in BUG] for row in stored], BUG)
+        newest = last_per_key(bugs, ["key"], ["updated"])
+        expected = stats.scored(stats.module_stats(newest, clock)).select(*[f.name for f in fields])
+        assert sorted(map(str, modules.read().collect())) == sorted(map(str, expected.collect()))
 
 
 def test_quota_stream(spark, tmp_path):
     store = str(tmp_path / "decided")
+    days = tables.day_table(spark, str(tmp_path / "days"))
 
     def run():
         stream = spark.readStream.schema("ts timestamp, id bigint, ok boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-        state.run_quota_gate(stream, store, str(tmp_path / "check"), limit=3).awaitTermination(60)
+        state.run_quota_gate(stream, store, days, str(tmp_path / "check"), limit=3, keep_days=5).awaitTermination(60)
 
     def request(number, ok=True, day=1):
-        return json.dumps({"ts": f"2024-01-0{day}T00:00:{number:02d}Z", "id": number, "ok": ok})
+        return json.dumps({"ts": f"2024-01-{day:02d}T00:00:{number:02d}Z", "id": number, "ok": ok})
 
     write(tmp_path / "in" / "1.json", [request(1), request(2, ok=False), request(3)])
     run()
@@ -118,6 +152,14 @@ def test_quota_stream(spark, tmp_path):
     assert {row.id: row.accepted for row in spark.read.parquet(store).collect()} == {
         1: True, 2: True, 3: True, 4: True, 5: False, 6: True,
     }
+    # Nothing of a full day is let in, and days far behind the newest are forgotten.
+    write(tmp_path / "in" / "3.json", [request(7), request(8, ok=False), request(9, day=20)])
+    run()
+    write(tmp_path / "in" / "4.json", [request(10, day=2), request(11, day=20)])
+    run()
+    judged = {row.id: row.accepted for row in spark.read.parquet(store).collect()}
+    assert [judged[n] for n in range(7, 12)] == [False, False, True, False, True]
+    assert [(row.day.day, row.used, row.before) for row in days.read().collect()] == [(20, 2, 1)]
 
 
 def test_weekly_stream_equals_the_batch(spark, tmp_path):
