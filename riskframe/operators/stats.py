@@ -121,14 +121,18 @@ def module_shares(modules: DataFrame) -> DataFrame:
     return modules.select("module", F.col("total_bugs").alias("bugs"))
 
 
-def risk_summary(bugs: DataFrame, modules: DataFrame, results: DataFrame) -> DataFrame:
-    """One-row overview; ``last_updated`` is null without results."""
+def risk_summary(bugs: DataFrame | None, modules: DataFrame, results: DataFrame) -> DataFrame:
+    """One-row overview; ``last_updated`` is null without results.
+
+    Without ``bugs`` their number is taken from the modules, which hold each of them.
+    """
+    total = modules.agg(F.coalesce(F.sum("total_bugs"), F.lit(0))) if bugs is None else bugs.agg(F.count("*"))
     overview = results.agg(
         F.count("*").alias("analyzed_count"),
         F.max(risk.text_or("analyzed_at")).alias("last_updated"),
     )
     return overview.select(
-        bugs.agg(F.count("*")).scalar().alias("total_bugs"),
+        total.scalar().alias("total_bugs"),
         "analyzed_count",
         modules.agg(F.count("*")).scalar().alias("modules"),
         "last_updated",

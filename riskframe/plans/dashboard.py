@@ -13,17 +13,18 @@ from riskframe.scale import settle_small
 def dashboard_pack(
     bugs: DataFrame, results: DataFrame, density: DataFrame, now: datetime
 ) -> dict[str, DataFrame]:
-    """Every table of the dashboard, lazily, over one settled module table."""
-    modules = settle_small(stats.scored(stats.module_stats(bugs, now)))
+    """Every table of the dashboard; all but the bug list come from one scan of the bugs."""
+    counts = dashboard.BugCounts(bugs, now)
+    modules = settle_small(counts.modules())
     return {
-        "summary": stats.risk_summary(bugs, modules, results),
+        "summary": stats.risk_summary(None, modules, results),
         "module_risks": stats.module_risks(modules, density),
         "kpis": stats.risk_kpis(modules),
         "ranking": stats.module_ranking(modules),
         "shares": stats.module_shares(modules),
-        "weekly_created": dashboard.weekly_created(bugs),
-        "open_closed": dashboard.open_closed(bugs),
-        "cumulative": dashboard.cumulative_created(bugs),
-        "facets": lookup.facet_values(bugs),
+        "weekly_created": counts.weekly_created(),
+        "open_closed": counts.open_closed(),
+        "cumulative": counts.cumulative_created(),
+        "facets": counts.facets(),
         "listing": lookup.listing(bugs),
     }

@@ -488,3 +488,69 @@ def dashboard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for size in sizes[1:]:
         total = total.unionByName(size)
     return total
+
+
+@query(
+    "p10_dashboard",
+    f"""{_EVENTS}, {V.EVENT_RESULTS}, {V.scored_modules("bugs_events", "stored", "2024-01-01T00:00:00")},
+    days AS (SELECT left(created, 10) AS day, count(*) AS created FROM bugs_events GROUP BY 1)
+    SELECT 'summary' AS part, 'total_bugs' AS name, '' AS detail, count(*)::DOUBLE AS value FROM bugs_events
+    UNION ALL SELECT 'summary', 'analyzed_count', max(analyzed_at), count(*) FROM event_results
+    UNION ALL SELECT 'summary', 'modules', '', count(*) FROM modules
+    UNION ALL SELECT 'module_risks', m.module, m.risk_level || ' ' || m.total_bugs || ' ' || m.open_bugs
+        || ' ' || round(s.bug_density * 1000000)::BIGINT, m.risk_score FROM modules m JOIN stored s USING (module)
+    UNION ALL SELECT 'kpis', 'critical',
+        coalesce(string_agg(module, ', ' ORDER BY module) FILTER (WHERE risk_level = 'CRITICAL'), ''),
+        count(*) FILTER (WHERE risk_level = 'CRITICAL') FROM modules
+    UNION ALL SELECT 'kpis', 'high', '', count(*) FILTER (WHERE risk_level = 'HIGH') FROM modules
+    UNION ALL SELECT 'ranking', module, risk_level, row_number() OVER (ORDER BY risk_score DESC, module) FROM modules
+    UNION ALL SELECT 'shares', module, '', total_bugs FROM modules
+    UNION ALL SELECT 'weekly_created', component,
+        strftime(date_trunc('week', CAST(left(created, 10) AS DATE)), '%Y-%m-%d'), count(*)
+        FROM bugs_events GROUP BY 2, 3
+    UNION ALL SELECT 'open_closed', component,
+        CASE WHEN lower(status) IN ('to do', 'open', 'in progress', 'in review', 'reopened')
+             THEN 'Açık' ELSE 'Kapalı' END, count(*) FROM bugs_events GROUP BY 2, 3
+    UNION ALL SELECT 'cumulative', day, created::VARCHAR, sum(created) OVER (ORDER BY day) FROM days
+    UNION ALL SELECT DISTINCT 'facets', 'priority', priority, 1 FROM bugs_events
+    UNION ALL SELECT DISTINCT 'facets', 'status', status, 1 FROM bugs_events
+    UNION ALL SELECT DISTINCT 'facets', 'component', component, 1 FROM bugs_events
+    UNION ALL SELECT 'listing', key, summary || '|' || priority || '|' || status || '|' || component || '|' || left(created, 10), 1
+        FROM bugs_events""",
+)
+def dashboard_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: all ten parts of the dashboard pack with their values, as one table."""
+    pack = dashboard_pack(
+        views.bugs_events(spark, sf_dir),
+        views.event_results(spark, sf_dir),
+        stats.density_map(_event_modules(spark, sf_dir)),
+        views.EVENTS_NOW,
+    )
+
+    def rows(part: str, frame: str, name, detail, value) -> DataFrame:
+        text = lambda x: F.coalesce(x.cast("string"), F.lit("")) if not isinstance(x, str) else F.lit(x)
+        return pack[frame].select(
+            F.lit(part).alias("part"), text(name).alias("name"), text(detail).alias("detail"), value.cast("double").alias("value")
+        )
+
+    c = F.col
+    millionths = F.round(c("stored_density") * 1_000_000).cast("bigint")
+    parts = [
+        rows("summary", "summary", "total_bugs", "", c("total_bugs")),
+        rows("summary", "summary", "analyzed_count", c("last_updated"), c("analyzed_count")),
+        rows("summary", "summary", "modules", "", c("modules")),
+        rows("module_risks", "module_risks", c("module"), F.concat_ws(" ", "level", "bug_count", "open_count", millionths), c("score")),
+        rows("kpis", "kpis", "critical", c("critical_names"), c("critical_modules")),
+        rows("kpis", "kpis", "high", "", c("high_modules")),
+        rows("ranking", "ranking", c("module"), c("risk_level"), c("rank")),
+        rows("shares", "shares", c("module"), "", c("bugs")),
+        rows("weekly_created", "weekly_created", c("module"), c("week"), c("bugs")),
+        rows("open_closed", "open_closed", c("module"), c("state"), c("bugs")),
+        rows("cumulative", "cumulative", c("day"), c("created"), c("total")),
+        rows("facets", "facets", c("facet"), c("value"), F.lit(1)),
+        rows("listing", "listing", c("key"), F.concat_ws("|", "summary", "priority", "status", "component", "created"), F.lit(1)),
+    ]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    return total
