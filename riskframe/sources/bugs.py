@@ -11,6 +11,7 @@ from riskframe import constants as C
 from riskframe.functions.risk import text_or
 from riskframe.functions.richtext import description_text
 from riskframe.schemas import BUG, ISSUE, SEARCH_PAGE
+from riskframe.sources.json_arrays import array_elements
 
 
 def _exists(read) -> DataFrame | None:
@@ -23,18 +24,18 @@ def _exists(read) -> DataFrame | None:
 
 
 def read_bugs(spark: SparkSession, path: str) -> DataFrame:
-    """Bugs from JSON array files.
+    """Bugs from JSON array files.
 
     A missing path, an unreadable document and a document that is not an array give
-    no rows.  Each file is one JSON document and therefore one task; large dumps are
-    expected as many files or as line-delimited JSON (:func:`read_bug_lines`).
+    no rows, nor do elements that are not objects.  One large file is read by as many
+    tasks as it has blocks.
     """
-    texts = _exists(lambda: spark.read.text(path, wholetext=True))
-    if texts is None:
+    elements = _exists(lambda: array_elements(spark, path))
+    if elements is None:
         return spark.createDataFrame([], BUG)
-    is_array = F.ltrim("value").startswith("[")
-    parsed = F.from_json("value", f"array<{BUG.simpleString()}>")
-    return texts.where(is_array).select(F.inline(parsed)).where(~_all_null(BUG.names))
+    objects = elements.where(F.btrim("value", F.lit(" \t\n\r")).startswith("{"))
+    parsed = objects.select(F.from_json("value", BUG).alias("bug"))
+    return parsed.select("bug.*").where(~_all_null(BUG.names))
 
 
 def _all_null(names: list[str]) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.operators import tokens
 from riskframe.operators.classify import classify_text, rules_from
-from riskframe.scale import ensure_checkpoint_dir
+from riskframe.scale import checkpointed, ensure_checkpoint_dir
 from riskframe.sources import bugs as bug_sources, tables
 from riskframe.workloads import views
 from riskframe.workloads.registry import query
@@ -54,6 +55,42 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("bug_key", "risk_score")
 
 
+@query(
+    "s1_bug_arrays",
+    """SELECT 'DOC-' || doc_id AS key, md5(text) AS digest, CASE doc_id % 3 WHEN 0 THEN 'Open' ELSE 'Closed' END AS status,
+              lang || '|' || source AS labels
+       FROM documents""",
+)
+def bug_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as JSON arrays in a few files, each read in many blocks."""
+    docs = views.table(spark, sf_dir, "documents")
+    bug = F.struct(
+        F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("description"),
+        F.when(F.col("doc_id") % 3 == 0, "Open").otherwise("Closed").alias("status"),
+        F.array("lang", "source").alias("labels"), F.struct("n_chars").alias("unknown"),
+    )
+    folder = scratch(spark)
+    # One array per file: brackets go around the lines of each partition, commas between them.
+    lines = docs.select(F.to_json(bug).alias("value")).coalesce(4)
+
+    def as_array(parts):
+        first = True
+        for part in parts:
+            for value in part.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": ["[" + value if first else "," + value]})
+                first = False
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
+
+    lines.mapInArrow(as_array, "value string").write.text(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        bugs = checkpointed(bug_sources.read_bugs(spark, folder))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return bugs.select("key", F.md5("description").alias("digest"), "status", F.array_join("labels", "|").alias("labels"))
+
+
 @query(
     "s8_history",
     """SELECT event_id, event_type, value, 'first' AS batch FROM events
