@@ -5,7 +5,8 @@ without overlaps.  The best total wins, the earlier component on a tie.
 
 Two engines give the same result.  ``arrow`` finds every keyword of a text in one
 pass over it (Aho-Corasick), so its cost follows the text length; ``jvm`` stays in
-built-in expressions and makes one pass per keyword, which suits small tables.
+built-in expressions: one pass cuts the words, short keywords are looked up among them,
+and each longer one costs a byte search.
 """
 
 from __future__ import annotations
@@ -34,24 +35,61 @@ def _best_component(scores: list[Column], names: list[str]) -> Column:
         for position, (score, name) in enumerate(zip(scores, names))
     ]
     best = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
-    return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(C.GENERAL_MODULE))
+    return _once(best, lambda b: F.when(b["score"] > 0, b["name"]).otherwise(F.lit(C.GENERAL_MODULE)))
 
 
-def _jvm_scores(text: Column, rules: Rules) -> list[Column]:
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _one_of(words: list[str]):
+    return lambda word: word.isin(*words)
+
+
+def _jvm_scores(text: Column, words: Column, rules: Rules) -> list[Column]:
+    """Occurrences per component in a text whose words are ``words``.
+
+    Long keywords are counted by what their removal takes off the text, byte by byte.
+    Short ones are looked up among the words; if they hold other characters than those
+    of words, each needs a pass of its own.
+    """
     scores = []
     for name in _components(rules):
-        words = [keyword for _, component, keyword in rules if component == name]
-        score = F.lit(0)
-        for word in words:
-            if len(word) <= C.WHOLE_WORD_MAX_LENGTH:
-                pattern = rf"(?<![\p{{L}}\p{{N}}_]){re.escape(word)}(?![\p{{L}}\p{{N}}_])"
-            else:
-                pattern = re.escape(word)
-            score = score + F.regexp_count(text, F.lit(pattern))
+        keywords = [keyword for _, component, keyword in rules if component == name]
+        score = F.lit(0).cast("bigint")
+        if long := [word for word in keywords if len(word) > C.WHOLE_WORD_MAX_LENGTH]:
+
+            def counted(total: Column, word: Column) -> Column:
+                taken = F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))
+                return total + F.when(taken > 0, F.floor(taken / F.octet_length(word)).cast("bigint")).otherwise(0)
+
+            score = F.aggregate(F.array(*map(F.lit, long)), score, counted)
+        short = [word for word in keywords if len(word) <= C.WHOLE_WORD_MAX_LENGTH]
+        plain = [word for word in short if all(c.isalnum() or c == "_" for c in word)]
+        for times in sorted({plain.count(word) for word in plain}):
+            some = sorted({word for word in plain if plain.count(word) == times})
+            score = score + F.size(F.filter(words, _one_of(some))) * times
+        for word in short:
+            if word not in plain:
+                pattern = rf"(?<!{_WORD_CHAR}){re.escape(word)}(?!{_WORD_CHAR})"
+                score = score + F.regexp_count(text, F.lit(pattern))
         scores.append(score)
     return scores
 
 
+def _jvm_classified(text: Column, rules: Rules) -> Column:
+    words = F.regexp_extract_all(text, F.lit(rf"{_WORD_CHAR}++"), F.lit(0))
+    short = F.filter(words, lambda x: F.char_length(x) <= C.WHOLE_WORD_MAX_LENGTH)
+    return _once(
+        F.struct(text.alias("text"), short.alias("words")),
+        lambda t: _best_component(_jvm_scores(t["text"], t["words"], rules), _components(rules)),
+    )
+
+
 def _arrow_classifier(rules: Rules):
     names = _components(rules)
     words = sorted({keyword for _, _, keyword in rules})
@@ -102,7 +140,7 @@ def classify_text(text: Column, rules: Rules | None = None, engine: str = "arrow
     rules = list(rules if rules is not None else C.keyword_table())
     if engine == "arrow":
         return _arrow_classifier(rules)(text)
-    return _best_component(_jvm_scores(F.lower(text), rules), _components(rules))
+    return F.when(text.isNotNull(), _jvm_classified(F.lower(text), rules))
 
 
 def classify_bugs(

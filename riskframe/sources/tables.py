@@ -8,6 +8,7 @@ that finished.  A writer that dies leaves an unfinished version nobody reads.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -233,54 +234,83 @@ DAMAGED_FILE = ("CANNOT_READ_FILE_FOOTER", "PARQUET_COLUMN_DATA_TYPE_MISMATCH",
 class TokenMap:
     """The token map, added to by batch and reset by an empty version.
 
-    Every ``add`` writes a batch of its own; ``compact`` folds them into one version.
+    Every ``add`` writes a folder of its own; ``compact`` folds those it read into one
+    version and deletes no others.  A damaged folder is set aside by itself.
     """
 
     def __init__(self, spark: SparkSession, path: str, origin: str = "live"):
         self._table = VersionedTable(spark, path, schemas.PII_MAP, origin)
         self._batches = f"{path.rstrip('/')}/batches/origin={origin}"
 
-    def _readable(self, known: DataFrame, path: str) -> DataFrame:
-        """``known``, or nothing if a file of it is damaged; the folder is then set aside."""
+    def _parts(self) -> list[str]:
+        """Folders of the current version and of the finished batches."""
+        version = self._table.version()
+        found = [f"{self._table.path}/version={version:06d}"] if version else []
+        location, files = _folder(self._table.spark, self._batches)
+        if not files.exists(location):
+            return found
+        names = sorted(status.getPath().getName() for status in files.listStatus(location))
+        batches = [f"{self._batches}/{name}" for name in names if name.startswith("batch=")]
+        return found + [path for path in batches if files.exists(_folder(self._table.spark, f"{path}/_SUCCESS")[0])]
+
+    def _rows(self, parts: list[str]) -> DataFrame:
         spark = self._table.spark
+        if not parts:
+            return spark.createDataFrame([], schemas.PII_MAP)
+        return spark.read.schema(schemas.PII_MAP).parquet(*parts)
+
+    def _damaged(self, parts: list[str]) -> bool:
+        """Whether a file of ``parts`` cannot be read; errors that pass are raised."""
         try:
-            known.write.format("noop").mode("overwrite").save()
+            self._rows(parts).write.format("noop").mode("overwrite").save()
         except Exception as error:  # noqa: BLE001 - Spark wraps the reader's error in its own
             if not any(sign in str(error) for sign in DAMAGED_FILE):
                 raise
-            location, files = _folder(spark, path)
-            parent = path.rsplit("/", 1)[0]
-            aside, _ = _folder(spark, f"{parent}/damaged-{datetime.now(timezone.utc):%Y%m%d-%H%M%S-%f}")
-            files.rename(location, aside)
-            return spark.createDataFrame([], schemas.PII_MAP)
-        return known
+            return True
+        return False
+
+    def _sound_parts(self) -> list[str]:
+        """The readable folders; others are set aside, each by itself."""
+        parts = self._parts()
+        if not parts or not self._damaged(parts):
+            return parts
+        sound = []
+        for path in parts:
+            if not self._damaged([path]):
+                sound.append(path)
+                continue
+            location, files = _folder(self._table.spark, path)
+            parent, name = path.rsplit("/", 1)
+            stamp = f"{datetime.now(timezone.utc):%Y%m%d-%H%M%S-%f}"
+            files.rename(location, _folder(self._table.spark, f"{parent}/damaged-{stamp}-{name}")[0])
+        return sound
 
     def read(self) -> DataFrame:
-        """Known tokens; a damaged part of the map is set aside, other errors are raised."""
-        version = self._table.version()
-        known = self._readable(self._table.read(), f"{self._table.path}/version={version:06d}")
-        location, files = _folder(self._table.spark, self._batches)
-        if not files.exists(location):
-            return known
-        batches = self._table.spark.read.schema(schemas.PII_MAP).parquet(self._batches)
-        return known.unionByName(self._readable(batches, self._batches)).distinct()
+        """Known tokens; damaged parts of the map are set aside, other errors are raised."""
+        return self._rows(self._sound_parts()).distinct()
 
     def add(self, entries: DataFrame) -> None:
+        """Write one batch; readers see it once it is complete."""
         columns = [F.col(field.name).cast(field.dataType) for field in schemas.PII_MAP]
-        entries.select(*columns).write.mode("append").parquet(self._batches)
+        entries.select(*columns).write.parquet(f"{self._batches}/batch={uuid.uuid4().hex}")
 
     def compact(self) -> None:
-        """Fold the batches into one version."""
-        self._table.replace(self.read())
-        self._drop_batches()
+        """Fold the batches that are there now into one version."""
+        parts = self._sound_parts()
+        self._table.replace(self._rows(parts).distinct())
+        self._drop(parts)
 
     def clear(self) -> None:
+        """Start anew: an empty version, and none of the batches there are now."""
+        parts = self._parts()
         self._table.replace(self._table.spark.createDataFrame([], schemas.PII_MAP))
-        self._drop_batches()
+        self._drop(parts)
 
-    def _drop_batches(self) -> None:
-        location, files = _folder(self._table.spark, self._batches)
-        files.delete(location, True)
+    def _drop(self, parts: list[str]) -> None:
+        for path in parts:
+            if path.startswith(self._batches):
+                location, files = _folder(self._table.spark, path)
+                files.delete(location, True)
 
 
 def append_history(results: DataFrame, path: str) -> None:

@@ -120,9 +120,45 @@ def test_a_damaged_token_map_is_set_aside_and_other_errors_are_raised(spark, tmp
     def fails(self, *_):
         raise OSError("storage is away")
 
-    monkeypatch.setattr("riskframe.sources.tables.VersionedTable.read", fails)
+    monkeypatch.setattr("riskframe.sources.tables.TokenMap._rows", fails)
     try:
         store.read()
     except OSError:
         return
     raise AssertionError("a passing error gave an empty map")
+
+
+def entry(spark, number):
+    return spark.createDataFrame([(f"{number}@x.org", f"[EMAIL_{number}]", "EMAIL", number)], "original string, token string, category string, seq long")
+
+
+def test_damage_costs_one_batch_of_the_token_map(spark, tmp_path):
+    store = TokenMap(spark, str(tmp_path / "map"))
+    for number in (1, 2, 3):
+        store.add(entry(spark, number))
+    folder = tmp_path / "map" / "batches" / "origin=live"
+    hurt = sorted(folder.glob("batch=*"))[1]
+    lost = spark.read.parquet(str(hurt)).first().seq
+    for file in hurt.glob(".*.crc"):
+        file.unlink()
+    for file in hurt.glob("part-*.parquet"):
+        file.write_bytes(b"junk")
+    assert sorted(row.seq for row in store.read().collect()) == [n for n in (1, 2, 3) if n != lost]
+    assert len(list(folder.glob("damaged-*"))) == 1 and len(list(folder.glob("batch=*"))) == 2
+    store.compact()
+    assert store.read().count() == 2 and not list(folder.glob("batch=*"))
+
+
+def test_compaction_keeps_a_batch_that_came_meanwhile(spark, tmp_path, monkeypatch):
+    store = TokenMap(spark, str(tmp_path / "map"))
+    store.add(entry(spark, 1))
+    replace = type(store._table).replace
+
+    def slow(table, df):
+        version = replace(table, df)
+        store.add(entry(spark, 2))
+        return version
+
+    monkeypatch.setattr(type(store._table), "replace", slow)
+    store.compact()
+    assert sorted(row.seq for row in store.read().collect()) == [1, 2]
