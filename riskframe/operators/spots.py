@@ -23,7 +23,34 @@ def _params(**values: Column) -> Column:
     return F.create_map(*pairs)
 
 
-def unanalyzed_modules(modules: DataFrame, results: DataFrame) -> DataFrame:
+def _placed(found: DataFrame, order: list, ranked: bool) -> DataFrame:
+    """Findings with their place; numbering sorts them all, so only where it is asked for."""
+    return with_rank(found, order) if ranked else found.withColumn("rank", F.lit(None).cast("bigint"))
+
+
+def is_neglected() -> Column:
+    """O2: Highest or High, and nobody has started."""
+    return F.col("priority").isin(*C.NEGLECT_PRIORITIES) & risk.status_in("status", C.NO_PROGRESS_STATUSES)
+
+
+def is_stale(now: datetime, days: int = C.STALE_DAYS) -> Column:
+    """O3: open for at least ``days`` days."""
+    return risk.status_in("status", C.STALE_OPEN_STATUSES) & (dates.days_since(F.col("created"), now) >= days)
+
+
+def noted_bugs(bugs: DataFrame, now: datetime, order_by: str = "key") -> DataFrame:
+    """The bugs that any finding looks at, from one scan.
+
+    Of those that are only worked on, which is most of them, nothing but the component and
+    what makes them so is kept.
+    """
+    shown = is_neglected() | is_stale(now)
+    told = ["key", "summary", "priority", "created"] + ([order_by] if order_by not in ("key", "summary", "priority", "created", "status", "component") else [])
+    columns = [F.when(shown, F.col(name)).alias(name) for name in told]
+    return bugs.where(shown | risk.is_worked_on()).select(*columns, "status", "component")
+
+
+def unanalyzed_modules(modules: DataFrame, results: DataFrame, ranked: bool = True) -> DataFrame:
     """Modules scoring at least 35 that no result names exactly."""
     named = results.select(F.explode("affected_modules").alias("module")).distinct()
     risky = modules.where(F.col("risk_score") >= C.RISKY_MODULE_SCORE)
@@ -37,7 +64,7 @@ def unanalyzed_modules(modules: DataFrame, results: DataFrame) -> DataFrame:
         "open_bugs",
         _params(module=F.col("module"), risk_level=F.col("risk_level")).alias("params"),
     )
-    return with_rank(found, [F.desc("risk_score"), "module"])
+    return _placed(found, [F.desc("risk_score"), "module"], ranked)
 
 
 def _bug_columns(now: datetime) -> list[Column]:
@@ -51,12 +78,9 @@ def _bug_columns(now: datetime) -> list[Column]:
     ]
 
 
-def neglected_bugs(bugs: DataFrame, now: datetime, order_by: str = "key") -> DataFrame:
+def neglected_bugs(bugs: DataFrame, now: datetime, order_by: str = "key", ranked: bool = True) -> DataFrame:
     """O2: Highest and High bugs nobody has started, Highest first, then oldest."""
-    untouched = F.col("priority").isin(*C.NEGLECT_PRIORITIES) & risk.status_in(
-        "status", C.NO_PROGRESS_STATUSES
-    )
-    found = bugs.where(untouched).select(
+    found = bugs.where(is_neglected()).select(
         F.lit("neglected_critical_bugs").alias("category"),
         F.lit("neglected_critical_bug").alias("code"),
         *_bug_columns(now),
@@ -67,29 +91,25 @@ def neglected_bugs(bugs: DataFrame, now: datetime, order_by: str = "key") -> Dat
         status=F.col("status"),
     )
     order = [F.desc(F.col("priority") == "Highest"), F.desc("days_open"), "__order"]
-    return with_rank(found.withColumn("params", params), order).drop("__order")
+    return _placed(found.withColumn("params", params), order, ranked).drop("__order")
 
 
 def stale_bugs(
-    bugs: DataFrame, now: datetime, days: int = C.STALE_DAYS, order_by: str = "key"
+    bugs: DataFrame, now: datetime, days: int = C.STALE_DAYS, order_by: str = "key", ranked: bool = True
 ) -> DataFrame:
     """O3: bugs open for at least ``days`` days, oldest first."""
-    found = (
-        bugs.where(risk.status_in("status", C.STALE_OPEN_STATUSES))
-        .select(
-            F.lit("stale_bugs").alias("category"),
-            F.lit("stale_bug").alias("code"),
-            *_bug_columns(now),
-            F.col(order_by).alias("__order"),
-        )
-        .where(F.col("days_open") >= days)
+    found = bugs.where(is_stale(now, days)).select(
+        F.lit("stale_bugs").alias("category"),
+        F.lit("stale_bug").alias("code"),
+        *_bug_columns(now),
+        F.col(order_by).alias("__order"),
     )
     params = _params(key=F.col("key"), days_open=F.col("days_open"))
     order = [F.desc("days_open"), "__order"]
-    return with_rank(found.withColumn("params", params), order).drop("__order")
+    return _placed(found.withColumn("params", params), order, ranked).drop("__order")
 
 
-def rising_modules(bugs: DataFrame, modules: DataFrame) -> DataFrame:
+def rising_modules(bugs: DataFrame, modules: DataFrame, ranked: bool = True) -> DataFrame:
     """Modules on the rise in which no bug is being worked on.
 
     The raw component is compared with the module name.
@@ -108,7 +128,7 @@ def rising_modules(bugs: DataFrame, modules: DataFrame) -> DataFrame:
         F.lit(0).alias("in_progress"),
         _params(module=F.col("module"), recent_bugs=F.col("recent_bug_count")).alias("params"),
     )
-    return with_rank(found, [F.desc("recent_bugs"), "module"])
+    return _placed(found, [F.desc("recent_bugs"), "module"], ranked)
 
 
 def all_findings(*categories: DataFrame) -> DataFrame:

@@ -318,6 +318,7 @@ def _event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.event_results(spark, sf_dir),
         views.EVENTS_NOW,
         order_by="position",
+        ranked=False,
     )
 
 
