@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.functions.globs import glob_matches, glob_to_regex
+from riskframe.functions.globs import glob_matches
 from riskframe.operators import paths
 from riskframe.plans.change_report import change_risk
 from riskframe.plans.module_risk import module_risk
@@ -13,16 +13,17 @@ from riskframe.workloads import sqlviews as V, views
 from riskframe.workloads.registry import query
 
 
-def _quoted(value: str | None) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
-
-
-_MODULE_RULES = "module_rules(pattern, regex, module) AS (VALUES " + ", ".join(
-    f"({_quoted(p)}, {_quoted(glob_to_regex(p))}, {_quoted(m)})" for p, m in views.RULES.modules
-) + ")"
-_EXCLUDE_RULES = "exclude_rules(pattern, regex) AS (VALUES " + ", ".join(
-    f"({_quoted(p)}, {_quoted(glob_to_regex(p))})" for p in views.RULES.exclude
-) + ")"
+# The rules of ``views.RULES`` with their expressions written out, so that a wrong
+# translation of a glob differs from them.
+_MODULE_RULES = r"""
+module_rules(pattern, regex, module) AS (VALUES
+  ('en/**', '^en/.*$', 'BUILDING'), ('en/?', '^en/[^/]$', 'MACHINERY'), ('de/*', '^de/[^/]*$', 'AUTOMOBILE'),
+  ('fr/1*', '^fr/1[^/]*$', 'FURNITURE'), ('es/**', '^es/.*$', 'HOUSEHOLD'),
+  ('**/9*', '^(.+/)?9[^/]*$', 'Docs Site'), ('*/4*', '^[^/]*/4[^/]*$', 'Landing Pages'))"""
+_EXCLUDE_RULES = r"""
+exclude_rules(pattern, regex) AS (VALUES
+  ('**/*.html', '^(.+/)?[^/]*[.]html$'), ('de/9*', '^de/9[^/]*$'), ('fr/??', '^fr/[^/]{2}$'),
+  ('legacy/**', '^legacy/.*$'), ('docs/**', '^docs/.*$'))"""
 _SCOPE = f"""{_MODULE_RULES}, {_EXCLUDE_RULES}, {V.PAGE_FILES},
 in_scope AS (
   SELECT * FROM page_files f
@@ -191,7 +192,85 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("change_id", F.array_join("shown_files", " ").alias("shown"), "more_files")
 
 
-@query("p6_change_report")
+_COUNTED = f"""
+counts AS (
+  SELECT f.change_id, count(*) AS changed_files, count(s.file_path) AS analyzed_files
+  FROM page_files f LEFT JOIN in_scope s USING (change_id, file_path) GROUP BY 1),
+tops AS (
+  SELECT change_id, count(risk_score) AS scored_modules, count(*) - count(risk_score) AS unscored_modules,
+         coalesce(max(risk_score), 0) AS max_risk FROM affected GROUP BY 1),
+leads AS (
+  SELECT change_id, module AS max_risk_module FROM affected WHERE risk_score IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY risk_score DESC, module) = 1),
+judged AS (
+  SELECT change_id, changed_files, analyzed_files, coalesce(unscored_modules, 0) AS unscored,
+         coalesce(max_risk_module, '') AS lead,
+         CASE WHEN coalesce(scored_modules, 0) = 0 AND coalesce(unscored_modules, 0) > 0 THEN 'NO_HISTORY'
+              WHEN coalesce(scored_modules, 0) = 0 THEN 'NO_MATCH'
+              ELSE {V.LEVEL.format('max_risk')} END AS verdict
+  FROM counts LEFT JOIN tops USING (change_id) LEFT JOIN leads USING (change_id))"""
+
+_REPORT_PARTS = """
+numbered AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY file_path) AS n FROM page_files),
+shown AS (
+  SELECT change_id, string_agg('- `' || file_path || '`', chr(10) ORDER BY file_path) FILTER (WHERE n <= 20)
+           || CASE WHEN count(*) > 20 THEN chr(10) || '- ... and ' || (count(*) - 20) || ' more files' ELSE '' END AS files
+  FROM numbered GROUP BY 1),
+firsts AS (
+  SELECT change_id, module, min(file_path) AS first_file, count(DISTINCT file_path) - 1 AS others
+  FROM evidence GROUP BY 1, 2),
+reasons AS (
+  SELECT f.change_id, f.module, '- **' || f.module || '** ← pattern `' || min(e.pattern) || '` matched `' || f.first_file || '`'
+           || CASE WHEN others = 0 THEN '' WHEN others = 1 THEN ' (+1 more file)' ELSE ' (+' || others || ' more files)' END AS line
+  FROM firsts f JOIN evidence e ON e.change_id = f.change_id AND e.module = f.module AND e.file_path = f.first_file
+  GROUP BY f.change_id, f.module, f.first_file, others),
+why AS (SELECT change_id, string_agg(line, chr(10) ORDER BY module) AS reasons FROM reasons GROUP BY 1),
+lines AS (
+  SELECT change_id, string_agg(module, ', ' ORDER BY module) AS all_names,
+         string_agg(module, ', ' ORDER BY module) FILTER (WHERE risk_score IS NULL) AS unscored_names,
+         string_agg('| ' || module || ' | ' || risk_score || '/100 | '
+           || CASE risk_level WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' ELSE '🟢' END
+           || ' ' || risk_level || ' | ' || total_bugs || ' | ' || open_bugs || ' | '
+           || CASE trend WHEN 'increasing' THEN '📈' WHEN 'decreasing' THEN '📉' ELSE '➡️' END || ' ' || trend || ' |',
+           chr(10) ORDER BY module) FILTER (WHERE risk_score IS NOT NULL) AS table_rows
+  FROM affected GROUP BY 1)"""
+
+
+@query(
+    "p6_change_report",
+    f"""WITH {_AFFECTED}, {_COUNTED}, {_REPORT_PARTS}
+    SELECT change_id, replace(
+        '# 🔍 Defect Risk Analysis Report¶¶**Generated:** 2001-08-15 00:00:00¶**Changed Files:** ' || changed_files
+        || '¶**Analyzed Files:** ' || analyzed_files
+        || CASE WHEN changed_files > analyzed_files
+                THEN '  (' || (changed_files - analyzed_files) || ' excluded by path rules)' ELSE '' END
+        || '¶**Affected Modules:** ' || coalesce(all_names, '— none matched') || '¶¶'
+        || coalesce('## Risk Summary¶¶| Module | Risk Score | Risk Level | Total Bugs | Open Bugs | Trend |'
+             || '¶|--------|-----------|------------|------------|-----------|-------|¶' || table_rows || '¶¶', '')
+        || coalesce('**Matched, no historical data:** ' || unscored_names || '¶¶*A pattern in path rules named '
+             || CASE unscored WHEN 1 THEN 'this module' ELSE 'these modules' END
+             || ', but the bug history has no record of ' || CASE unscored WHEN 1 THEN 'it' ELSE 'them' END
+             || ', so no risk was calculated.*¶¶', '')
+        || coalesce('## Why these modules¶¶' || reasons || '¶¶', '')
+        || CASE verdict
+             WHEN 'NO_HISTORY' THEN '### ⚪ NOT ASSESSED — ' || unscored_names || ' matched, but the bug history has no record of '
+               || CASE unscored WHEN 1 THEN 'it' ELSE 'them' END
+               || '.¶¶**Recommendation:** Risk was not assessed; review the change on its own merits.'
+             WHEN 'NO_MATCH' THEN '### ⚪ NOT ASSESSED — changed files did not map to any known module.'
+               || '¶¶**Recommendation:** Risk was not assessed; review the change on its own merits.'
+             WHEN 'CRITICAL' THEN '### ⚠️ CRITICAL RISK — `' || lead || '` module requires immediate attention!'
+               || '¶¶**Recommendation:** Request thorough code review and additional QA testing before merge.'
+             WHEN 'HIGH' THEN '### 🟠 HIGH RISK — `' || lead || '` module has elevated defect density.'
+               || '¶¶**Recommendation:** Ensure targeted testing for the affected module.'
+             WHEN 'MEDIUM' THEN '### 🟡 MEDIUM RISK — Standard review recommended.'
+               || '¶¶**Recommendation:** Follow normal review process with attention to edge cases.'
+             ELSE '### 🟢 LOW RISK — No significant defect patterns detected.'
+               || '¶¶**Recommendation:** Standard review is sufficient.' END
+        || '¶¶## Changed Files¶¶' || files
+        || '¶¶---¶*This report is generated using ISTQB Risk-Based Testing principles and historical defect analysis.*',
+        '¶', chr(10)) AS report
+    FROM judged JOIN shown USING (change_id) LEFT JOIN lines USING (change_id) LEFT JOIN why USING (change_id)""",
+)
 def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The markdown report of every change."""
     return _risk(spark, sf_dir).reports
