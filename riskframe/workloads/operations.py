@@ -346,12 +346,12 @@ def webhook_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_prompt_batch")
 def prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P8 first half: masked prompts with similar bugs."""
-    bugs, vectors = _numbered_bugs(spark, sf_dir)
+    bugs, vectors = numbered_bugs(spark, sf_dir)
     modules = module_risk(bugs, views.TEXT_NOW, classify_missing=False)
     return analysis.prepare_prompts(bugs, modules, vectors).prompts
 
 
-def _numbered_bugs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def numbered_bugs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bugs = views.bugs_text(spark, sf_dir).withColumn(
         "component", F.substring_index("summary", " ", 1)
     )
@@ -373,7 +373,7 @@ def _numbered_bugs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 )
 def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P8 second half, U1: replies that quote the masked text are merged and restored."""
-    bugs, _ = _numbered_bugs(spark, sf_dir)
+    bugs, _ = numbered_bugs(spark, sf_dir)
     modules = module_risk(bugs, views.TEXT_NOW, classify_missing=False)
     batch = analysis.prepare_prompts(bugs, modules, None)
     answers = batch.shown.select(
