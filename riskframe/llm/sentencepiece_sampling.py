@@ -61,6 +61,7 @@ class Lattices:
                 self.ids[piece.replace(SPACE, " ")] = i
                 self.pieces.append(piece.replace(SPACE, " ").encode())
         self.weights = weights
+        self.piece_table = np.array(self.pieces, dtype=object)
         self.log_weights = np.log(np.array([*weights, weights[-1]]))  # the last: a character in bytes
         self._trie()
         self.clear()
@@ -91,10 +92,22 @@ class Lattices:
             self.piece_of[states[piece]] = i
 
     def clear(self) -> None:
+        self._room: dict[str, np.ndarray] = {}
         self.units: dict[str, int] = {}  # last node of each unit
         self.edge_at = np.zeros(1, np.int64)
         self.ladder, self.back, self.token = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _grow(self, name: str, values: np.ndarray) -> None:
+        """Append to an array that is a view of a larger one, which doubles when it is full."""
+        old = getattr(self, name)
+        size = len(old) + len(values)
+        room = self._room.get(name)
+        if room is None or len(room) < size:
+            room = self._room[name] = np.empty(max(size, 2 * len(old)), old.dtype)
+            room[: len(old)] = old
+        room[len(old) : size] = values
+        setattr(self, name, room[:size])
+
     def _step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         kind = self.char_class[char]
         result = self.next[state, kind].astype(np.int64)
@@ -162,10 +175,10 @@ class Lattices:
         running = np.cumsum(share)
         running -= np.repeat(running[cut] - share[cut], np.diff(np.append(cut, len(target))))
         base, edges = len(self.edge_at) - 1, len(self.token)
-        self.edge_at = np.concatenate([self.edge_at, edges + np.cumsum(counts)])
-        self.ladder = np.concatenate([self.ladder, base + target + np.clip(running, 0, 1)])
-        self.back = np.concatenate([self.back, base + origin])
-        self.token = np.concatenate([self.token, token])
+        self._grow("edge_at", edges + np.cumsum(counts))
+        self._grow("ladder", base + target + np.clip(running, 0, 1))
+        self._grow("back", base + origin)
+        self._grow("token", token)
         self.units.update(zip(units, (base + first_node + sizes).tolist(), strict=True))
 
     def nodes(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
@@ -196,6 +209,17 @@ def _uniform(keys: np.ndarray, steps: int) -> np.ndarray:
         return (mixed(keys + np.uint64(steps) * _STOP) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
+def _drawn_edges(ladder: np.ndarray, first: np.ndarray, last: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """The edge of each node whose step of the ladder holds the draw; nodes have few edges."""
+    edge = first.copy()
+    move = np.flatnonzero((ladder[edge] <= draw) & (edge < last))
+    while len(move):
+        edge[move] += 1
+        now = edge[move]
+        move = move[(ladder[now] <= draw[move]) & (now < last[move])]
+    return edge
+
+
 def sampled(model: Lattices, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
     """Token ids of every text, drawn with probability proportional to the product of weights."""
     node, counts = model.nodes(texts)
@@ -210,8 +234,7 @@ def sampled(model: Lattices, texts: list[str], keys: np.ndarray) -> list[np.ndar
     live = live[edge_at[node + 1] > edge_at[node]] if len(node) else live
     while len(live):
         at = node[live]
-        edge = np.searchsorted(ladder, at + _uniform(key[live], step), side="right")
-        edge = np.clip(edge, edge_at[at], edge_at[at + 1] - 1)
+        edge = _drawn_edges(ladder, edge_at[at], edge_at[at + 1] - 1, at + _uniform(key[live], step))
         drawn_unit.append(live)
         drawn_step.append(np.full(len(live), step))
         drawn.append(token[edge])
@@ -246,7 +269,7 @@ def _spelled(model: Lattices, tokens: np.ndarray) -> np.ndarray:
 
 def decoded(model: Lattices, ids: np.ndarray) -> str:
     """The text of token ids; the space that was put in front goes."""
-    return b"".join(map(model.pieces.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+    return b"".join(model.piece_table[ids].tolist())[1:].decode("utf-8", "surrogatepass")
 
 
 def encode_documents(
