@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import row_key, stored, text_bytes, thinned
+from riskframe.llm.common import row_key, spare_names, stored, text_bytes, thinned
 
 
 def hash64(data: bytes) -> int:
@@ -87,19 +87,21 @@ def removals(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
 def without_passages(docs: DataFrame, removed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every row of ``docs`` with its text cut; ``__lines`` and ``__removed`` count lines.
 
-    The lines that stay are joined by line ends again.  Null texts stay null.
+    The lines that stay are joined by line ends again.  Null texts stay null.  Columns of
+    ``docs`` may have any names; only ones named like the two counts are replaced.
     """
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    joined = keyed.join(removed.select(F.col("row").alias("__row"), F.col("places").alias("__places")), "__row", "left")
+    row, places = spare_names(docs, "row", "places")
+    keyed = docs.withColumn(row, row_key(id_col, text_col))
+    joined = keyed.join(removed.select(F.col("row").alias(row), F.col("places").alias(places)), row, "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, k: ~F.array_contains("__places", k))
+    kept = F.filter(lines, lambda _, k: ~F.array_contains(places, k))
     return joined.withColumns(
         {
-            text_col: F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)),
+            text_col: F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept)),
             "__lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "__removed": F.coalesce(F.size("__places"), F.lit(0)).cast("long"),
+            "__removed": F.coalesce(F.size(places), F.lit(0)).cast("long"),
         }
-    ).drop("__row", "__places")
+    ).drop(row, places)
 
 
 def first_of(occurrences: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskframe.llm.common import spare_names
 from riskframe.scale import checkpointed
 
 #: Words that put a host on the list when they occur as a part of its name.
@@ -137,22 +138,23 @@ def judged_urls(
     """
     added = ("host", "path", "rule", "verdict")
     keep = [c for c in pages.columns if c not in added or c == url_col]
-    base = pages.select(*keep, F.col(url_col).alias("__url"))
-    rows = base.select(*keep, host_of(F.col("__url")).alias("__host"), path_of(F.col("__url")).alias("__path"))
+    url, host, path = spare_names(pages, "url", "host", "path")
+    base = pages.select(*keep, F.col(url_col).alias(url))
+    rows = base.select(*keep, host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path))
     condition = listed if listed is not None else listed_by_name(F.col("host"))
-    hosts = checkpointed(rows.select(F.col("__host").alias("host")).distinct())
+    hosts = checkpointed(rows.select(F.col(host).alias("host")).distinct())
     universe = hosts.select(F.col("host").alias("key"), condition.alias("listed"))
     shards = max(1, -(-hosts.count() // shard_keys))
     share = lambda c: F.pmod(F.xxhash64(F.lit("share"), c), F.lit(shards))
     result = None
     for s in range(shards):
         levels = cascade(universe.where(share(F.col("key")) == s))
-        rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
-        method = F.when(member(F.col("__host"), levels), "block").otherwise("allow")
-        part = rows.where(share(F.col("__host")) == s) if shards > 1 else rows
+        rule, verdict = rule_of(F.col(host), F.col(path), rules)
+        method = F.when(member(F.col(host), levels), "block").otherwise("allow")
+        part = rows.where(share(F.col(host)) == s) if shards > 1 else rows
         part = part.select(
             *(c for c in keep if c not in added),
-            F.col("__host").alias("host"), F.col("__path").alias("path"),
+            F.col(host).alias("host"), F.col(path).alias("path"),
             rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"),
         )
         result = part if result is None else result.unionByName(part)
