@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.operators import neighbours
 from riskframe.operators.clusters import greedy_clusters
@@ -49,6 +50,27 @@ def test_neighbours_equal_brute_force(spark, block_rows):
     assert {(row.src, row.dst, row.rank) for row in found} == brute_force(vectors, vectors, 10)
 
 
+def test_blocks_meet_without_a_shuffle_of_vectors(spark):
+    vectors = clustered_vectors(2)
+    df = frame(spark, vectors)
+    found = neighbours.top_neighbours(df, df, 3, block_rows=4)
+    assert {(row.src, row.dst, row.rank) for row in found.collect()} == brute_force(vectors, vectors, 3)
+    numbered = df.where("key < 1000").select(F.col("key").alias("id"), F.col("doc_vec").alias("vec"))
+    blocked = neighbours._distinct_neighbours(None, numbered, 3, 4, 0.65)
+    plan = blocked._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    # 160 queries and at least 40 blocks: three rows a query and task, not a query and block.
+    assert blocked.count() <= 160 * 3 * neighbours.TASKS_PER_CORE * spark.sparkContext.defaultParallelism / 4
+    assert blocked.where("similarity < 0.65").isEmpty()
+
+
+def test_a_vector_without_direction_hides_no_other(spark):
+    vectors = {k: [1.0, k / 10] for k in range(12)}
+    df = frame(spark, vectors | {50: [float("nan"), 1.0]})
+    found = neighbours.top_neighbours(df, df, 4, block_rows=4).where("src <> 50 and rank <= 3")
+    assert {(row.src, row.dst, row.rank) for row in found.collect()} == brute_force(vectors, vectors, 3)
+
+
 def test_small_index_returns_everything(spark):
     vectors = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [-1.0, 0.0]}
     df = frame(spark, vectors)
