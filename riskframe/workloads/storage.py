@@ -206,10 +206,10 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("fields"),
     )
     pages = events.groupBy(F.floor(F.col("event_id") / 50).alias("page")).agg(F.collect_list(issue).alias("issues"))
-    path = scratch(spark)
-    saved = pages.select("page", F.to_json(F.struct("issues", F.lit(True).alias("isLast"))).alias("value"))
-    saved.repartition("page").write.partitionBy("page").text(path)  # a page is a file
-    found = bug_sources.normalized_issues(bug_sources.read_search_pages(spark, f"{path}/page=*"))
+    path = f"{scratch(spark)}/pages.jsonl"
+    # A page is a line: a file each would cost a file's creation and listing for every fifty issues.
+    pages.select(F.to_json(F.struct("issues", F.lit(True).alias("isLast"))).alias("value")).write.text(path)
+    found = bug_sources.normalized_issues(bug_sources.read_search_pages(spark, path))
     return found.select("key", "summary", "priority", "status", "component")
 
 
