@@ -19,6 +19,9 @@ from riskframe.operators.lookup import last_per_key
 from riskframe.operators.sync import upsert_results
 from riskframe.scale import with_rank
 
+#: Tasks a core that write files of their own for every row.
+WRITES_PER_CORE = 4
+
 
 def _folder(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -353,7 +356,11 @@ def read_json_or_quarantine(
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One markdown text per change, in a folder per change."""
-    reports.select("change_id", F.col("report").alias("value")).write.mode("overwrite").option(
-        "lineSep", "\n"
-    ).partitionBy("change_id").text(path)
+    """One markdown text per change, in a folder per change.
+
+    The cost is that of the files, not of their few bytes, so they are dealt to all cores by
+    a fixed number, which AQE does not merge.
+    """
+    tasks = WRITES_PER_CORE * reports.sparkSession.sparkContext.defaultParallelism
+    texts = reports.select("change_id", F.col("report").alias("value")).repartition(tasks, "change_id")
+    texts.write.mode("overwrite").option("lineSep", "\n").partitionBy("change_id").text(path)
