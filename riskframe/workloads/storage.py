@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.operators import tokens
 from riskframe.operators.classify import classify_text, rules_from
-from riskframe.scale import checkpointed, ensure_checkpoint_dir
+from riskframe.scale import ensure_checkpoint_dir
 from riskframe.sources import bugs as bug_sources, tables
 from riskframe.workloads import views
 from riskframe.workloads.registry import query
 
 _NOW = datetime(2024, 3, 1, tzinfo=timezone.utc)
+#: Blocks of bug arrays when they do not get too small or too large.
+BLOCKS = 512
 
 
 def scratch(spark: SparkSession) -> str:
@@ -62,7 +64,7 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM documents""",
 )
 def bug_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as JSON arrays in a few files, each read in many blocks."""
+    """All documents as JSON arrays, one per partition, each read in many blocks."""
     docs = views.table(spark, sf_dir, "documents")
     bug = F.struct(
         F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("description"),
@@ -71,21 +73,24 @@ def bug_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     folder = scratch(spark)
     # One array per file: brackets go around the lines of each partition, commas between them.
-    lines = docs.select(F.to_json(bug).alias("value")).coalesce(4)
+    lines = docs.select(F.to_json(bug).alias("value"))
 
     def as_array(parts):
         first = True
         for part in parts:
-            for value in part.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"value": ["[" + value if first else "," + value]})
+            values = part.column(0).to_pylist()
+            if values:
+                yield pa.RecordBatch.from_pydict({"value": ["[" + values[0] if first else "," + values[0], *("," + v for v in values[1:])]})
                 first = False
         yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
 
     lines.mapInArrow(as_array, "value string").write.text(folder)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    # Small files in many blocks, large tables in a bounded number of them.
+    chars = docs.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(max(chars // BLOCKS, 256 << 10), 128 << 20)))
     try:
-        bugs = checkpointed(bug_sources.read_bugs(spark, folder))
+        bugs = bug_sources.read_bugs(spark, folder)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     return bugs.select("key", F.md5("description").alias("digest"), "status", F.array_join("labels", "|").alias("labels"))

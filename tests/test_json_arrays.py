@@ -74,3 +74,28 @@ def test_tokens_at_every_cut():
         middle, left = json_arrays.tokens(text[:cut], json_arrays.OUTSIDE)
         end, right = json_arrays.tokens(text[cut:], middle)
         assert end == state and left + [(at + cut, token) for at, token in right] == whole
+
+
+def test_blocks_are_cut_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(rows(3, 30)))
+    found = json_arrays.array_elements(spark, str(tmp_path / "a.json"))
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30
+
+
+def test_tokens_of_any_text():
+    rng = random.Random(9)
+    for _ in range(3_000):
+        text = "".join(rng.choice('"\\{[,]}a \n') for _ in range(rng.randint(0, 12)))
+        for start in (json_arrays.OUTSIDE, json_arrays.INSIDE, json_arrays.ESCAPED):
+            state, found = start, []
+            for place, c in enumerate(text):
+                if state == json_arrays.ESCAPED:
+                    state = json_arrays.INSIDE
+                elif state == json_arrays.INSIDE:
+                    state = {'"': json_arrays.OUTSIDE, "\\": json_arrays.ESCAPED}.get(c, state)
+                elif c == '"':
+                    state = json_arrays.INSIDE
+                elif c in "[]{},":
+                    found.append((place, c))
+            assert json_arrays.tokens(text, start) == (state, found), (text, start)
