@@ -6,12 +6,13 @@ without overlaps.  The best total wins, the earlier component on a tie.
 Two engines give the same result.  ``arrow`` finds every keyword of a text in one
 pass over it (Aho-Corasick), so its cost follows the text length; ``jvm`` stays in
 built-in expressions: one pass cuts the words, short keywords are looked up among them,
-and each longer one costs a byte search.
+and one pass finds the longer ones by a pattern that shares their beginnings.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,6 +24,8 @@ from riskframe.functions import risk
 from riskframe.functions.text import query_text, strip
 
 Rules = Sequence[tuple[int, str, str]]
+#: Longer keywords are no part of the pattern, which nests as deep as they are long.
+LONGEST_MET = 100
 
 
 def _components(rules: Rules) -> list[str]:
@@ -38,7 +41,8 @@ def _best_component(scores: list[Column], names: list[str]) -> Column:
     return _once(best, lambda b: F.when(b["score"] > 0, b["name"]).otherwise(F.lit(C.GENERAL_MODULE)))
 
 
-_WORD_CHAR = r"[\p{L}\p{N}_]"
+#: The letters a to z and digits first: they are most characters and the cheapest to test.
+_WORD_CHAR = r"[a-z0-9_\p{L}\p{N}]"
 
 
 def _once(value: Column, then) -> Column:
@@ -50,29 +54,54 @@ def _one_of(words: list[str]):
     return lambda word: word.isin(*words)
 
 
-def _jvm_scores(text: Column, words: Column, rules: Rules) -> list[Column]:
-    """Occurrences per component in a text whose words are ``words``.
+def _overlaps_itself(word: str) -> bool:
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
 
-    Long keywords are counted by what their removal takes off the text, byte by byte.
+
+def _longest_of(words: list[str]) -> str:
+    """A pattern of the longest of ``words`` that starts at a place, shared beginnings once."""
+    following: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            following.setdefault(word[0], []).append(word[1:])
+    branches = "|".join(re.escape(c) + _longest_of(rest) for c, rest in sorted(following.items()))
+    return f"(?:{branches})" + ("?" if "" in words else "") if branches else ""
+
+
+def _weighted(items: Column, weights: dict[str, int], score: Column) -> Column:
+    """``score`` and the weights of all ``items``."""
+    for weight in sorted(set(weights.values())):
+        some = sorted(word for word, own in weights.items() if own == weight)
+        score = score + F.size(F.filter(items, _one_of(some))) * weight
+    return score
+
+
+def _jvm_scores(text: Column, words: Column, hits: Column, met: list[str], rules: Rules) -> list[Column]:
+    """Occurrences per component in a text whose short words are ``words``.
+
+    ``hits`` holds the longest of the keywords ``met`` at every place where one starts; a
+    keyword is there as often as hits begin with it.  The other long keywords are
+    counted by what their removal takes off the text, byte by byte.
     Short ones are looked up among the words; if they hold other characters than those
     of words, each needs a pass of its own.
     """
     scores = []
+    hits_of: dict[str, list[str]] = {word: [] for word in met}
+    for hit in met:
+        for word in {hit[:k] for k in range(1, len(hit) + 1)} & hits_of.keys():
+            hits_of[word].append(hit)
     for name in _components(rules):
         keywords = [keyword for _, component, keyword in rules if component == name]
         score = F.lit(0).cast("bigint")
-        if long := [word for word in keywords if len(word) > C.WHOLE_WORD_MAX_LENGTH]:
-
-            def counted(total: Column, word: Column) -> Column:
-                taken = F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))
-                return total + F.when(taken > 0, F.floor(taken / F.octet_length(word)).cast("bigint")).otherwise(0)
-
-            score = F.aggregate(F.array(*map(F.lit, long)), score, counted)
+        long = [word for word in keywords if len(word) > C.WHOLE_WORD_MAX_LENGTH]
+        score = _weighted(hits, Counter(hit for word in long for hit in hits_of.get(word, [])), score)
+        for word in long:
+            if word not in hits_of:
+                taken = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+                score = score + F.floor(taken / F.octet_length(F.lit(word))).cast("bigint")
         short = [word for word in keywords if len(word) <= C.WHOLE_WORD_MAX_LENGTH]
         plain = [word for word in short if all(c.isalnum() or c == "_" for c in word)]
-        for times in sorted({plain.count(word) for word in plain}):
-            some = sorted({word for word in plain if plain.count(word) == times})
-            score = score + F.size(F.filter(words, _one_of(some))) * times
+        score = _weighted(words, Counter(plain), score)
         for word in short:
             if word not in plain:
                 pattern = rf"(?<!{_WORD_CHAR}){re.escape(word)}(?!{_WORD_CHAR})"
@@ -82,11 +111,15 @@ def _jvm_scores(text: Column, words: Column, rules: Rules) -> list[Column]:
 
 
 def _jvm_classified(text: Column, rules: Rules) -> Column:
-    words = F.regexp_extract_all(text, F.lit(rf"{_WORD_CHAR}++"), F.lit(0))
-    short = F.filter(words, lambda x: F.char_length(x) <= C.WHOLE_WORD_MAX_LENGTH)
+    most = C.WHOLE_WORD_MAX_LENGTH
+    # Longer words leave an empty one.
+    words = F.regexp_extract_all(text, F.lit(rf"{_WORD_CHAR}{{{most + 1},}}+|({_WORD_CHAR}++)"), F.lit(1))
+    short = F.filter(words, lambda x: x != "")
+    met = sorted({word for _, _, word in rules if most < len(word) <= LONGEST_MET and not _overlaps_itself(word)})
+    hits = F.regexp_extract_all(text, F.lit(f"(?=({_longest_of(met)}))"), F.lit(1)) if met else F.array().cast("array<string>")
     return _once(
-        F.struct(text.alias("text"), short.alias("words")),
-        lambda t: _best_component(_jvm_scores(t["text"], t["words"], rules), _components(rules)),
+        F.struct(text.alias("text"), short.alias("words"), hits.alias("hits")),
+        lambda t: _best_component(_jvm_scores(t["text"], t["words"], t["hits"], met, rules), _components(rules)),
     )
 
 
