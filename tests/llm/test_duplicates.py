@@ -203,6 +203,49 @@ def test_paragraph_dedup(spark):
     assert paragraph_dedup.dedup_paragraphs(documents(spark, [])).count() == 0
 
 
+def test_paragraph_pairs_below_the_threshold_are_not_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    lines = []
+    for _ in range(80):  # similarity about 0.5 to each other: they share bands, but do not link
+        words = list(base)
+        for k in rng.sample(range(60), 4):
+            words[k] = f"x{rng.random()}"
+        lines.append(" ".join(words))
+    lines += [lines[0] + " tail", lines[1] + " tail"]
+    compared = []
+    exact = paragraph_dedup.verified_forms
+
+    def counted(source, firsts, pairs, normal, good):
+        compared.append(pairs.count())
+        return exact(source, firsts, pairs, normal, good)
+
+    monkeypatch.setattr(paragraph_dedup, "verified_forms", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = paragraph_dedup.dedup_paragraphs(docs)
+    similar = {
+        b for b in range(len(lines)) for a in range(b)
+        if paragraph_dedup.similar_paragraphs(lines[a].encode(), lines[b].encode())
+    }
+    assert {r.doc_id for r in found.where("__removed > 0").collect()} == similar
+    assert {80, 81} <= similar and sum(compared) < 2 * len(lines)
+
+
+def test_sketches_keep_links():
+    rng = np.random.default_rng(4)
+    pairs = 0
+    for size in (1, 5, 40, 300, 3_000):
+        for changed in (0, 1, size // 18, size // 10, size // 5):
+            one = rng.integers(0, 1 << 63, size, np.uint64)
+            two = np.concatenate([one[: size - changed], rng.integers(0, 1 << 63, changed, np.uint64)])
+            a, b = common.parity_sketches(np.concatenate([one, two]), np.array([0, size, 2 * size]), 256)
+            differ = np.bitwise_count((a ^ b).view(np.uint64)).sum()
+            assert differ <= 2 * changed
+            assert changed > 0 or differ == 0
+            pairs += differ
+    assert pairs > 0
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraph_dedup.tuned_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
