@@ -55,6 +55,38 @@ def test_links_across_chunks(spark, chunk):
     assert {(r.id, r.component) for r in found.collect()} == {(5, 3), (3, 3), (19, 2), (18, 2), (2, 2), (50, 2), (7, 0), (0, 0)}
 
 
+@pytest.mark.parametrize(("chunk", "linked"), [(1_000, "b > 0"), (30, "b > 0"), (30, "(a * 7 + b * 3) % 50 = 0 AND b > 0")])
+def test_members_of_one_key_name_few_pairs(spark, chunk, linked):
+    keys = spark.createDataFrame([(1, x) for x in range(120)], "key long, id long")
+    compared = []
+
+    def verified(pairs):
+        compared.append(pairs.count())
+        return pairs.where(linked)
+
+    def pairing(one, two):
+        return tuple(x.ravel() for x in np.indices((len(one), len(two))))
+
+    points = keys.select("id", F.col("id").alias("point"))
+    found = common.linked_by_keys(keys, verified, points=points, pairing=pairing, chunk=chunk)
+    every = spark.range(120).selectExpr("id AS a").join(spark.range(120).selectExpr("id AS b")).where(f"a > b AND {linked}")
+    kind = connected(120, [(r.a, r.b) for r in every.collect()])
+    expected = {k: kind.index(c) for k, c in enumerate(kind) if kind.count(c) > 1}
+    assert {r.id: r.component for r in found.collect()} == expected
+    if linked == "b > 0":  # all but the smallest link: no pair of each with each
+        assert sum(compared) < 120 * 10
+
+
+def test_ngram_pairs_below_the_threshold_are_not_compared():
+    rng = np.random.default_rng(6)
+    same = rng.integers(0, 1 << 63, 20, np.uint64)
+    sets = [np.unique(np.concatenate([same, rng.integers(0, 1 << 63, 20, np.uint64)])) for _ in range(60)]
+    odd = common.parity_sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), ngram_join.SKETCH_BITS)
+    sizes = np.array(list(map(len, sets)))
+    good = common.sketches_may_link(odd[:, None], odd[None], sizes[:, None], sizes[None], ngram_join.PERCENT)
+    assert good.diagonal().all() and good.sum() == 60
+
+
 def test_ngram_components(spark):
     rows = texts()
     sets = [shingles(t, 4) for _, t in rows]
