@@ -44,7 +44,9 @@ WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u
 #: A text that holds one of these may name a special token of the vocabulary.
 SPECIAL = "<|"
 #: Units whose ids a worker keeps; the rest are encoded whenever they occur.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 600_000
+#: After an ASCII letter or digit, at the end of a unit, these are a token sequence of their own.
+MARKS = frozenset(".,;:!?")
 #: New units that are encoded in one call; each result holds much more than its ids.
 FRESH_UNITS = 4_000
 
@@ -58,6 +60,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._fresh(list(MARKS)), strict=True))
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         result = []
@@ -66,6 +69,25 @@ class Encoder:
             result += [array("I", x.ids).tobytes() for x in found]
         return result
 
+    def _fresh_units(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of new units; one that ends in a mark takes those of the unit before the mark."""
+        known, found, heads = self.units, {}, {}
+        for unit in units:
+            if len(unit) > 1 and unit[-1] in MARKS and unit[-2].isascii() and unit[-2].isalnum():
+                head = unit[:-1]
+                if head in known:
+                    found[unit] = known[head] + self.marks[unit[-1]]
+                else:
+                    heads.setdefault(head, []).append(unit)
+            else:
+                heads.setdefault(unit, [])
+        names = list(heads)
+        for name, ids in zip(names, self._fresh(names), strict=True):
+            found[name] = ids
+            for unit in heads[name]:
+                found[unit] = ids + self.marks[unit[-1]]
+        return found
+
     @staticmethod
     def _cut(text: str) -> list[str] | None:
         if SPECIAL in text or any(c in text for c in CONTROLS) or not text.isascii() and WIDE_SPACE.search(text):
@@ -89,8 +111,7 @@ class Encoder:
             except TypeError:  # some unit is new
                 new.update(u for u, i in zip(units, ids, strict=True) if i is None)
                 later.append((k, units, ids))
-        names = list(new)
-        fresh = dict(zip(names, self._fresh(names), strict=True))
+        fresh = self._fresh_units(new)
         for k, units, ids in later:
             result[k] = b"".join([fresh[u] if i is None else i for u, i in zip(units, ids, strict=True)])
         for k, ids in zip(whole, self._fresh([texts[k] for k in whole]), strict=True):

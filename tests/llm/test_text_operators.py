@@ -43,6 +43,18 @@ def test_pieces_are_those_of_the_tokenizer(spark):
     assert -(-total // 1024) <= len(bins) <= -(-total // 1024) + 2
 
 
+def test_marks_at_the_end_of_units_are_not_encoded_again():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    asked, encode = [], tokens._fresh
+    tokens._fresh = lambda units: asked.extend(units) or encode(units)
+    found = ["Onrein, onrein. onrein, onrein! x9? x9", "onrein; x9: d\u00e9j\u00e0, it's. it's', 's. !!, a.. b.,", "onrein.\nonrein,\n", ", . d\u00e9j\u00e0. \u0663. \u0663"]
+    for _ in range(2):
+        for text in found:
+            assert tokens.encode([text]) == [np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert not {" onrein.", " onrein,", " onrein!", " x9?"} & set(asked) and asked.count(" onrein") == 1
+
+
 def test_packing_over_several_levels(spark):
     rows = spark.range(900).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "300 + id * 37 % 400 AS length", "0L AS ids_crc32")
     packed = packing.packed(rows, group_pieces=200).collect()
