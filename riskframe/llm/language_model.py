@@ -114,6 +114,44 @@ class Model:
             kept["after"][t] = h
         return kept
 
+    def states(self, ids: np.ndarray, begins: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The states after each step, as :meth:`forward` gives them, without what training needs.
+
+        Signs and factors are in the weights: powers of two, so nothing is rounded differently.
+        """
+        hidden = h.shape[1]
+        folds = np.repeat(np.array([-1, -2], np.float32), [2 * hidden, hidden])
+        gates, state = (self.parts["input"] * folds)[ids], self.parts["state"] * folds
+        by_gates, by_new = np.ascontiguousarray(state[:, : 2 * hidden]), np.ascontiguousarray(state[:, 2 * hidden :])
+        result = np.empty((*ids.shape, hidden), np.float32)
+        zr, x = np.empty((len(h), 2 * hidden), np.float32), np.empty_like(h)
+        for t in range(len(ids)):
+            if begins[t].any():
+                h = h * ~begins[t][:, None]
+            np.matmul(h, by_gates, out=zr)
+            zr += gates[t, :, : 2 * hidden]
+            np.exp(np.minimum(zr, 60, out=zr), out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.matmul(h, by_new, out=x)
+            x *= zr[:, hidden:]
+            x += gates[t, :, 2 * hidden :]
+            np.exp(np.minimum(x, 60, out=x), out=x)
+            x += 1
+            np.divide(2, x, out=x)
+            x -= 1
+            after = np.subtract(h, x, out=result[t])
+            after *= zr[:, :hidden]
+            after += x
+            h = after
+        return result
+
+    def bounded(self) -> bool:
+        """Whether no state, its values between -1 and 1, takes an output to where exp would overflow or vanish."""
+        p = self.parts
+        reach = lambda w, b, axis: (np.abs(w).sum(axis=axis) + np.where(b > -1e8, np.abs(b), 0)).max()
+        return bool(reach(p["class_w"], p["class_b"], 0) < 80 and reach(p["word_w"], p["word_b"], 1) < 80)
+
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of the targets (negative: none) and gradients of the states."""
         p, n = self.parts, len(states)
@@ -121,11 +159,8 @@ class Model:
         cls = np.where(real, targets // self.width, 0)
         count = p["word_b"].shape[0]
         cls[targets == self.size] = count
-        logits = states @ p["class_w"] + p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        result = logits[np.arange(n), cls] - np.log(total)
+        safe = self.bounded()
+        result, e, total = _shares(states @ p["class_w"] + p["class_b"], cls, safe)
         back = None
         if grads is not None:
             e /= total[:, None]
@@ -136,17 +171,16 @@ class Model:
             back = e @ p["class_w"].T
         order = np.argsort(cls.astype(np.int16), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(count + 1))
+        ordered, places = states[order], np.where(real, targets - cls * self.width, 0)[order]
         for c in range(count):
             rows = order[ends[c] : ends[c + 1]]
             if not len(rows):
                 continue
-            s = states[rows]
-            logits = s @ p["word_w"][c] + p["word_b"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            place = np.where(real[rows], targets[rows] - c * self.width, 0)
-            result[rows] += logits[np.arange(len(rows)), place] - np.log(total)
+            s, place = ordered[ends[c] : ends[c + 1]], places[ends[c] : ends[c + 1]]
+            logits = s @ p["word_w"][c]
+            logits += p["word_b"][c]
+            found, e, total = _shares(logits, place, safe)
+            result[rows] += found
             if grads is not None:
                 e /= total[:, None]
                 e[np.arange(len(rows)), place] -= 1
@@ -182,6 +216,16 @@ class Model:
         grads["input"][flat[order][first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
+def _shares(logits: np.ndarray, chosen: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log share of the chosen place of each row, all exponentials (in place) and their sums."""
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
+    found = logits[np.arange(len(logits)), chosen]
+    e = np.exp(logits, out=logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    return found - np.log(total), e, total
+
+
 def streams_of(lengths: np.ndarray, streams: int) -> list[list[int]]:
     """Documents in streams of about equal length, the longest first."""
     heap = [(0, s) for s in range(min(streams, len(lengths)))]
@@ -258,9 +302,9 @@ def log_probabilities(model: Model, docs: list[np.ndarray], end: int) -> np.ndar
         if state is None:
             state = np.zeros((ids.shape[1], model.parts["state"].shape[0]), np.float32)
         ids, begins, targets, whose = ids[:, live], begins[:, live], targets[:, live], whose[:, live]
-        kept = model.forward(ids, begins, state[live])
-        state[live] = kept["after"][-1]
-        found, _ = model.outputs(kept["after"].reshape(-1, state.shape[1]), targets.ravel())
+        after = model.states(ids, begins, state[live])
+        state[live] = after[-1]
+        found, _ = model.outputs(after.reshape(-1, state.shape[1]), targets.ravel())
         result += np.bincount(whose.ravel(), found, len(docs))
     return result
 

@@ -216,6 +216,24 @@ def test_outputs_are_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_scoring_gives_the_states_and_shares_of_training():
+    rng = np.random.default_rng(3)
+    model = language_model.Model.fresh(40, hidden=8, classes=5)
+    model.start_from(rng.integers(1, 90, 40), 7)
+    for k in ("input", "state", "class_w", "word_w"):
+        model.parts[k] += rng.standard_normal(model.parts[k].shape).astype(np.float32)
+    ids, targets = rng.integers(0, 41, (9, 30)).astype(np.int32), rng.integers(-1, 41, 270)
+    begins, h = rng.random((9, 30)) < 0.2, np.tanh(rng.standard_normal((30, 8))).astype(np.float32)
+    after = model.states(ids, begins, h)
+    assert np.allclose(after, model.forward(ids, begins, h)["after"], atol=1e-6)
+    assert model.bounded()
+    flat = after.reshape(-1, 8)
+    near, far = model.outputs(flat, targets)[0], model.filled(model.blob())
+    far.parts["class_b"] += 500  # the same shares from outputs that exp cannot take
+    far.parts["word_b"][:, :] += 500
+    assert not far.bounded() and np.allclose(far.outputs(flat, targets)[0], near, atol=1e-3)
+
+
 def test_state_is_carried_through_windows(monkeypatch):
     model = language_model.Model.fresh(6, hidden=4, classes=2)
     docs = [np.random.default_rng(k).integers(0, 7, 5 + 40 * k).astype(np.int32) for k in range(5)]
