@@ -77,6 +77,19 @@ def test_members_of_one_key_name_few_pairs(spark, chunk, linked):
         assert sum(compared) < 120 * 10
 
 
+def test_points_meet_as_arrays(spark):
+    keys = spark.createDataFrame([(1, x) for x in range(40)], "key long, id long")
+    points = keys.selectExpr("id", "struct(array(id, 2 * id) AS pair, id % 5 AS rest) AS point")
+
+    def pairing(one, two):
+        assert one["pair"].shape == (len(one["rest"]), 2) and (2 * two["pair"][:, 0] == two["pair"][:, 1]).all()
+        return np.nonzero((one["rest"][:, None] == two["rest"]) & (one["pair"][:, :1] % 5 == two["rest"]))
+
+    verified = lambda pairs: pairs.where("(a - b) % 5 = 0 AND b > 4")
+    found = common.linked_by_keys(keys, verified, points=points, pairing=pairing, chunk=3)
+    assert {r.id: r.component for r in found.collect()} == {k: k % 5 + 5 for k in range(5, 40)}
+
+
 def test_ngram_pairs_below_the_threshold_are_not_compared():
     rng = np.random.default_rng(6)
     same = rng.integers(0, 1 << 63, 20, np.uint64)
