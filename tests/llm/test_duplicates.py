@@ -8,6 +8,8 @@ import tempfile
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +218,57 @@ def test_line_dedup_needs_edit_similarity_only(spark):
     check_cut(line_dedup.dedup_lines(documents(spark)), line_dedup.normal_line, similar_lines)
 
 
+def test_line_dedup_in_many_shares(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARE_FORMS", 100)
+    check_cut(line_dedup.dedup_lines(documents(spark)), line_dedup.normal_line, similar_lines)
+
+
+def test_line_entries_are_small_and_meet_again():
+    rng = random.Random(3)
+    forms = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randint(40, 400))) for _ in range(600)]
+    forms += [f[:20] + b"ab" + f[23:] for f in forms[:300]]
+    forms = list(dict.fromkeys(forms))
+    batches = [line_dedup._packed_bands(forms[k : k + 250], k // 250, 1) for k in range(0, len(forms), 250)]
+    assert sum(b.nbytes for b in batches) < 9 * line_dedup.BANDS * len(forms)
+    rows, met = pa.Table.from_batches(batches), set()
+    for band in range(line_dedup.BANDS):
+        found = line_dedup._met(rows.filter(pc.equal(rows["band"], band)))
+        groups = {}
+        for key, name in zip(found["key"].to_pylist(), found["name"].to_pylist(), strict=True):
+            groups.setdefault(key, set()).add((name >> 16) * 250 + name % (1 << 16))
+        met |= {frozenset(g) for g in groups.values()}
+    links = similar_lines(forms)
+    assert len(links) > 200 and sum(any({a, b} <= g for g in met) for a, b in links) >= 0.99 * len(links)
+
+
+def test_entries_of_a_large_group_find_partners():
+    n = 2_000
+    length = np.sort(np.random.default_rng(2).integers(0, 200, n)).astype(np.int64)
+    places = np.random.default_rng(3).integers(0, line_dedup.PLACES**line_dedup.ROWS, n)
+    near = line_dedup.near_places(places[:, None].repeat(n, 1).ravel(), np.tile(places, n)).reshape(n, n)
+    near &= np.abs(length[:, None] - length[None]) <= line_dedup.NEAR_CLASSES
+    np.fill_diagonal(near, False)
+    good = line_dedup.partnered(np.zeros(n, np.int64), length, places)
+    assert (good == near.any(axis=1)).all() and 0 < good.sum()
+
+
+def test_many_pairs_of_lines_at_once():
+    rng = random.Random(6)
+    for letters in ("abc ", "aß漢 "):
+        one, two = [], []
+        for _ in range(1_500):
+            a = [rng.choice(letters) for _ in range(rng.randint(0, 90))]
+            b = list(a)
+            for _ in range(rng.randint(0, 12)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "c"])
+            one.append("".join(a).encode())
+            two.append("".join(b).encode())
+        expected = [line_dedup.similar(a, b) for a, b in zip(one, two, strict=True)]
+        assert line_dedup.similar_pairs(one, two).tolist() == expected
+        assert 100 < sum(expected) < 1_400
+
+
 @pytest.mark.parametrize("words", [5, 8, 12, 20, 40, 80])
 @pytest.mark.parametrize("kind", ["word", "letters"])
 def test_line_recall_by_length(words, kind):
