@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import neighbours
 from riskframe.operators.clusters import greedy_clusters
+from riskframe.scale import single_row_batches
 
 
 def brute_force(queries: dict, index: dict, k: int) -> set:
@@ -133,3 +137,36 @@ def test_clusters_equal_the_sequential_loop(spark, seed, nodes, degree, min_size
     assert clusters == {
         (number, seed): set(members) for number, (seed, members) in enumerate(expected, start=1)
     }
+
+
+def test_search_holds_the_vectors_of_one_block():
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(60, 8)).astype(np.float32)
+    blocks = [np.arange(low, low + 20) for low in range(0, 60, 20)]
+    column = lambda values: pa.array([values.tolist()])
+    held = []
+
+    def parts():
+        for i in blocks:
+            for q in blocks:
+                columns = [pa.array([int(q[0])]), column(q), column(vectors[q].ravel()), column(i), column(vectors[i].ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["q_block", "q_ids", "q_vec", "i_ids", "i_vec"])
+                held.append(sum(isinstance(x, neighbours._BestVectors) and x.small is not None for x in gc.get_objects()))
+
+    found = pa.Table.from_batches(neighbours._search(3, -np.inf)(parts())).to_pydict()
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1)[:, :3]
+    assert set(zip(found["qid"], found["id"], strict=True)) == {(q, int(i)) for q in range(60) for i in best[q]}
+    assert held == [1] * 9
+
+
+def test_rows_of_megabytes_come_one_by_one(spark):
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])], ["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(0, 10, 1, 1).mapInArrow(sizes, "n long")
+    with single_row_batches(spark):
+        assert [r.n for r in rows.collect()] == [1] * 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
